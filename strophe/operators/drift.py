@@ -73,6 +73,8 @@ def value_distance(a: dict, b: dict) -> float:
     if a["num"] >= 0.5 and b["num"] >= 0.5:
         if (a["frac"] > 0.1) != (b["frac"] > 0.1) and max(a["distinct"], b["distinct"]) > 3:
             return 1.0
+        if a["distinct"] <= 2 and b["distinct"] <= 2 and (a["lo"], a["hi"]) != (b["lo"], b["hi"]):
+            return 0.4  # constants of a file (versions) move on
         span = max(a["hi"], b["hi"]) - min(a["lo"], b["lo"])
         if span <= 0:
             return 0.0
