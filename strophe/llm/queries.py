@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strophe.llm import garbled
+from strophe.llm import garbled, langid
 from strophe.session import table
 
 GARBLED_FIELDS = (("lyrics_timeline", "text", "line_id"), ("song_metadata", "name", "meta_id"), ("song_metadata", "artist", "meta_id"))
@@ -30,5 +30,27 @@ def p5_restored(spark: SparkSession, sf: str) -> DataFrame:
     return _garbled(spark, sf).select("tbl", "fld", "rec_id", F.when(F.col("restored") != F.col("text"), F.col("restored")).alias("restored")).distinct()
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p5_found, p5_restored)}
+LABELLED = (("documents", "doc_id", "text", "lang"), ("lyrics_timeline", "line_id", "text", "lang"), ("alignment_lines", "line_key", "reading", "reading_lang"))
+
+
+def _stretches(spark: SparkSession, sf: str) -> list[tuple[str, DataFrame]]:
+    tables = [(table(spark, sf, t), t, k, x, label) for t, k, x, label in LABELLED]
+    filters = langid.train(spark, [(df, x, label, langid.SAMPLE_DOCUMENTS if t == "documents" else langid.SAMPLE_LINES) for df, t, _, x, label in tables])
+    lines = tables[1][0]
+    repair = garbled.repairer(spark, garbled.fit(spark, [(lines, "text")]))
+    return [(t, langid.languages(df, k, x, label, filters, t == "documents", repair if t == "lyrics_timeline" else None)) for df, t, k, x, label in tables]
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    parts = [langid.mislabelled(found).select(F.lit(t).alias("tbl"), "rec_id", "seg", "lang") for t, found in _stretches(spark, sf)]
+    return reduce(DataFrame.unionAll, parts)
+
+
+def p2_stretches(spark: SparkSession, sf: str) -> DataFrame:
+    """Language and confidence of every stretch of every text with words."""
+    parts = [found.select(F.lit(t).alias("tbl"), F.col("key").alias("rec_id"), "seg", "lang", F.round("confidence", 4).alias("confidence")) for t, found in _stretches(spark, sf)]
+    return reduce(DataFrame.unionAll, parts).distinct()
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_stretches, p5_found, p5_restored)}
 SQL: dict[str, str] = {}
