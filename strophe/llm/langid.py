@@ -74,8 +74,8 @@ def plain(text: str) -> str:
     return text.lower()
 
 
-_HIDDEN = re.compile("[­​-‏⁠-⁤﻿]")
-_FOREIGN = re.compile("[Ͱ-ϿЀ-ӿ]")
+_HIDDEN = re.compile("[\u00ad\u200b-\u200f\u2060-\u2064\ufeff]")
+_FOREIGN = re.compile("[\u0370-\u03ff\u0400-\u04ff]")
 _LATIN = str.maketrans("аеорсхуіјѕһԁАВЕНІКМОРСТХУЅЈοαΑΒΕΖΗΙΚΜΝΟΡΤΥΧν", "aeopcxyijshdABEHIKMOPCTXYSJoaABEZHIKMNOPTYXv")
 
 

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strophe.llm import garbled, langid
+from strophe.llm import garbled, langid, lookalike
 from strophe.session import table
 
 GARBLED_FIELDS = (("lyrics_timeline", "text", "line_id"), ("song_metadata", "name", "meta_id"), ("song_metadata", "artist", "meta_id"))
@@ -52,5 +52,18 @@ def p2_stretches(spark: SparkSession, sf: str) -> DataFrame:
     return reduce(DataFrame.unionAll, parts).distinct()
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_stretches, p5_found, p5_restored)}
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    lyrics = table(spark, sf, "lyrics_timeline")
+    damaged = garbled.damage_test(spark, garbled.fit(spark, [(lyrics, "text")]))
+    pairs = lookalike.twins(lyrics, "song_dir", "line_id", "text", damaged)
+    spans = lookalike.false_surfaces(table(spark, sf, "alignment_lines"))
+    return pairs.select(F.lit("lyrics_timeline").alias("tbl"), "key_a", "key_b").unionAll(spans.select(F.lit("alignment_lines").alias("tbl"), F.col("line_key").alias("key_a"), F.col("pos").alias("key_b")))
+
+
+def p6_forms(spark: SparkSession, sf: str) -> DataFrame:
+    """Every lyric line in its consistent form."""
+    return lookalike.forms(table(spark, sf, "lyrics_timeline"), ["line_id"], "text").select("line_id", "form").distinct()
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_stretches, p5_found, p5_restored, p6_found, p6_forms)}
 SQL: dict[str, str] = {}
