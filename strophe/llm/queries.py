@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strophe.llm import garbled, langid, lookalike
+from strophe.llm import garbled, langid, lookalike, mixing, tokens
 from strophe.session import table
 
 GARBLED_FIELDS = (("lyrics_timeline", "text", "line_id"), ("song_metadata", "name", "meta_id"), ("song_metadata", "artist", "meta_id"))
@@ -65,5 +65,23 @@ def p6_forms(spark: SparkSession, sf: str) -> DataFrame:
     return lookalike.forms(table(spark, sf, "lyrics_timeline"), ["line_id"], "text").select("line_id", "form").distinct()
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_stretches, p5_found, p5_restored, p6_found, p6_forms)}
+def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return tokens.token_ids(table(spark, sf, "documents"), "doc_id", "text")
+
+
+def _mix(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    return mixing.mix(table(spark, sf, "documents"), "doc_id", "source", "text", table(spark, sf, "mix_targets"))
+
+
+def p9_copies(spark: SparkSession, sf: str) -> DataFrame:
+    """Copies of every document used in the mix."""
+    return _mix(spark, sf)[0].select("doc_id", "source", "tokens", "copies")
+
+
+def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """The shares reached."""
+    return _mix(spark, sf)[1]
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_stretches, p5_found, p5_restored, p6_found, p6_forms, p8_ids, p9_copies, p9_shares)}
 SQL: dict[str, str] = {}
