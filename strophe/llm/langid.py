@@ -303,6 +303,16 @@ class Splitter:
         return out
 
 
+def sentence_languages(filters: Filters, sentences: list[str]) -> np.ndarray:
+    """The language of each sentence by itself; len(LANGS) where there is no evidence."""
+    texts = [plain(t).replace("\n", "\r") for t in sentences]
+    grams = Grams(texts)
+    ends = np.cumsum([len(t) + 1 for t in texts]) if texts else np.empty(0, int)
+    per = np.zeros((len(texts), 8))
+    np.add.at(per, np.searchsorted(ends, grams.starts, side="right"), filters.words(grams))
+    return np.where(per.max(axis=1) > 0.5, per.argmax(axis=1), len(LANGS)) if len(texts) else np.empty(0, "int64")
+
+
 def slices(sizes: list[int], most: int) -> list[tuple[int, int]]:
     """Consecutive ranges of about ``most`` in total; one larger text makes a range of its own."""
     out, start, total = [], 0, 0

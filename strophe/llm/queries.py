@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strophe.llm import garbled, langid, lookalike, mixing, tokens
+from strophe.llm import garbled, langid, lookalike, mixing, subjects, tokens
 from strophe.session import table
 
 GARBLED_FIELDS = (("lyrics_timeline", "text", "line_id"), ("song_metadata", "name", "meta_id"), ("song_metadata", "artist", "meta_id"))
@@ -83,5 +83,23 @@ def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
     return _mix(spark, sf)[1]
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_stretches, p5_found, p5_restored, p6_found, p6_forms, p8_ids, p9_copies, p9_shares)}
+def _about(spark: SparkSession, sf: str) -> DataFrame:
+    documents = table(spark, sf, "documents")
+    filters = langid.train(spark, [(documents, "text", "lang", langid.SAMPLE_DOCUMENTS)])
+    labels = table(spark, sf, "subject_labels").select(F.col("doc_id").cast("bigint").alias("key"), "subject")
+    return subjects.about(documents, "doc_id", "text", labels, table(spark, sf, "subjects"), filters)
+
+
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _about(spark, sf).select(F.col("key").alias("doc_id"), "subject")
+
+
+def p10_composition(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents and sentences of each subject in each source."""
+    documents = table(spark, sf, "documents").select("doc_id", mixing.source_name(F.col("source")).alias("source"))
+    found = _about(spark, sf).join(documents, F.col("key") == F.col("doc_id"))
+    return found.groupBy("source", "subject").agg(F.count("*").alias("documents"), F.sum("sentences").alias("sentences"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_stretches, p5_found, p5_restored, p6_found, p6_forms, p8_ids, p9_copies, p9_shares, p10_found, p10_composition)}
 SQL: dict[str, str] = {}
