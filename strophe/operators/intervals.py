@@ -105,14 +105,15 @@ def fill_gaps(df: DataFrame, keys: Sequence[str], order: Sequence[str], mapped:
 def lint(df: DataFrame, keys: Sequence[str], order: Sequence[str], start: str = "start_ms", end: str = "end_ms") -> DataFrame:
     """One row per violation: missing, negative, inverted or unsorted times (keys, order, problem)."""
     w = Window.partitionBy(*keys).orderBy(*order)
+    df = df.withColumn("_ps", F.lag(start).over(w)).withColumn("_pe", F.lag(end).over(w))
     s, e = F.col(start), F.col(end)
     problems = F.array_compact(
         F.array(
             F.when(s.isNull() | e.isNull(), "missing_time"),
             F.when((s < 0) | (e < 0), "negative_time"),
             F.when(e < s, "inverted"),
-            F.when(s < F.lag(start).over(w), "unsorted"),
-            F.when(s < F.lag(end).over(w), "overlaps_previous"),
+            F.when(s < F.col("_ps"), "unsorted"),
+            F.when(s < F.col("_pe"), "overlaps_previous"),
         )
     )
     return df.withColumn("problem", F.explode(problems)).select(*keys, *order, "problem")
