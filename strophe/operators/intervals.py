@@ -22,9 +22,15 @@ def cut(start: Column, end: Column, i: Column, n: Column) -> Column:
 
 def split(values: Column, start: Column, end: Column) -> Column:
     """The values with the equal integer parts of an interval; none if there is no value or no time."""
-    n = F.size(values)
-    parts = F.transform(values, lambda v, i: F.struct(v.alias("text"), cut(start, end, i, n).alias("start_ms"), cut(start, end, i + 1, n).alias("end_ms")))
-    return F.when((n > 0) & (end > start), parts).otherwise(F.array().cast("array<struct<text:string,start_ms:bigint,end_ms:bigint>>"))
+    none = F.array().cast("array<struct<text:string,start_ms:bigint,end_ms:bigint>>")
+
+    def parts(v: Column) -> Column:
+        n = F.size(v)
+        cuts = F.transform(v, lambda x, i: F.struct(x.alias("text"), cut(start, end, i, n).alias("start_ms"), cut(start, end, i + 1, n).alias("end_ms")))
+        return F.when((n > 0) & (end > start), cuts).otherwise(none)
+
+    # the values are bound to a variable: an expression used inside a lambda is evaluated for every element
+    return F.get(F.transform(F.array(values), parts), F.lit(0))
 
 
 def shift(df: DataFrame, offset: Column, start: str = "start_ms", end: str = "end_ms") -> DataFrame:

@@ -89,11 +89,11 @@ def tree(leaf: DataFrame, key: str) -> dict[int, DataFrame]:
     return out
 
 
-_DIFFERS = ~(F.col("saved").eqNullSafe(F.col("current")) & F.col("n_saved").eqNullSafe(F.col("n_current")))
+_DIFFERS = "not (saved <=> current and n_saved <=> n_current)"
 
 
 def changed_leaves(leaf: DataFrame, key: str) -> DataFrame:
-    """Keys whose leaf differs, found by descending only into differing ranges.
+    """(key, saved, current) of the leaves that differ, found by descending only into differing ranges.
 
     The ranges of a level are at most 2**bits rows (65,536 at the lowest), so the semi joins
     that prune the descent send a bounded table.
@@ -102,7 +102,7 @@ def changed_leaves(leaf: DataFrame, key: str) -> DataFrame:
     at = levels[LEVELS[0]].filter(_DIFFERS).select(f"r{LEVELS[0]}")
     for upper, lower in zip(LEVELS, LEVELS[1:]):
         at = levels[lower].join(F.broadcast(at), f"r{upper}", "left_semi").filter(_DIFFERS).select(f"r{lower}")
-    return leaf.join(F.broadcast(at), f"r{LEVELS[-1]}", "left_semi").filter(~F.col("saved").eqNullSafe(F.col("current"))).select(key)
+    return leaf.join(F.broadcast(at), f"r{LEVELS[-1]}", "left_semi").filter(~F.col("saved").eqNullSafe(F.col("current"))).select(key, "saved", "current")
 
 
 def last_successful(runs: DataFrame) -> DataFrame:
@@ -129,7 +129,7 @@ def log_leaves(log: DataFrame, runs: DataFrame) -> DataFrame:
 
 def changed_directories(log: DataFrame, runs: DataFrame) -> DataFrame:
     """The directories that the next run has to process: (song_dir)."""
-    return changed_leaves(log_leaves(log, runs), "song_dir")
+    return changed_leaves(log_leaves(log, runs), "song_dir").select("song_dir")
 
 
 class MerkleStore:
@@ -174,10 +174,8 @@ class MerkleStore:
         both = now.withColumn("side", F.lit(1)).unionByName(old.withColumn("side", F.lit(0)))
         state = both.groupBy("key").agg(F.max(F.when(F.col("side") == 0, F.col("digest"))).alias("a"), F.max(F.when(F.col("side") == 1, F.col("digest"))).alias("b"))
         leaf = leaves(state, "key", F.col("a"), F.col("b"))
-        changed = changed_leaves(leaf, "key")
-        return changed.join(state, changed["key"].eqNullSafe(state["key"])).select(
-            state["key"], F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").otherwise("changed").alias("change")
-        )
+        gone, fresh = F.col("current").isNull(), F.col("saved").isNull()
+        return changed_leaves(leaf, "key").select("key", F.when(fresh, "added").when(gone, "removed").otherwise("changed").alias("change"))
 
     def publish(self, output: DataFrame, current: DataFrame, key: str, digest_col: str) -> str:
         """Write output and tree, then make both visible at once; returns the version."""

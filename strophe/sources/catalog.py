@@ -60,8 +60,8 @@ def input_errors(spark: SparkSession, root: str) -> DataFrame:
     shape = lambda df, kind, what: df.filter(~F.coalesce(F.schema_of_variant(F.try_parse_json("value")).startswith(kind), F.lit(False))).select("song_id", F.lit(what).alias("problem"))
     w = Window.partitionBy("song_id").orderBy("source_index")
     s, e = F.col("start_ms"), F.col("end_ms")
-    checks = F.array_compact(F.array(F.when(s.isNull() | e.isNull(), "invalid times"), F.when((s < 0) | (e < s), "invalid interval"), F.when(s < F.lag("start_ms").over(w), "not sorted")))
-    bad = times.withColumn("problem", F.explode(checks)).select("song_id", "problem")
+    checks = F.array_compact(F.array(F.when(s.isNull() | e.isNull(), "invalid times"), F.when((s < 0) | (e < s), "invalid interval"), F.when(s < F.col("_before"), "not sorted")))
+    bad = times.withColumn("_before", F.lag("start_ms").over(w)).withColumn("problem", F.explode(checks)).select("song_id", "problem")
     return missing.unionAll(shape(raw, "ARRAY", "timeline is no array of objects")).unionAll(shape(meta, "OBJECT", "metadata is no object")).unionAll(bad).distinct()
 
 
