@@ -353,11 +353,10 @@ def languages(df: DataFrame, key: str, text: str, label: str, filters: Filters,
                 found += splitter.split(texts[a:b])
             counts = [len(x) for x in found]
             out = pdf.loc[pdf.index.repeat(counts), ["key", "label"]].copy()
-            out["seg"] = np.concatenate([np.arange(c) for c in counts]) if counts else []
-            out["seg"] = out["seg"].astype("int32")
+            out["seg"] = np.concatenate([np.arange(c, dtype="int32") for c in counts]) if counts else np.empty(0, "int32")
             out["n"] = np.repeat(counts, counts).astype("int32")
-            out["lang"] = [LANGS[a] for x in found for a, _ in x]
-            out["confidence"] = [c for x in found for _, c in x]
+            out["lang"] = pd.Series([LANGS[a] for x in found for a, _ in x], dtype=object, index=out.index)
+            out["confidence"] = np.array([c for x in found for _, c in x], "float64")
             yield out
 
     rows = df.select(F.col(key).cast("bigint").alias("key"), F.col(text).cast("string").alias("text"), label_code(F.col(label)).alias("label")).filter("text is not null and trim(text) != ''")

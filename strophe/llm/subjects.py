@@ -175,7 +175,7 @@ def _emit(matrix: np.ndarray) -> pd.DataFrame:
     pid = TaskContext.get().partitionId()
     blocks = [matrix[i : i + BLOCK] for i in range(0, len(matrix), BLOCK)]
     some = [i for i, b in enumerate(blocks) if b.any()]
-    return pd.DataFrame({"block": pd.array(some, "int32"), "salt": pd.array([pid % 32] * len(some), "int32"), "data": [blocks[i].astype("float32").tobytes() for i in some]})
+    return pd.DataFrame({"block": pd.array(some, "int32"), "salt": pd.array([pid % 32] * len(some), "int32"), "data": pd.Series([blocks[i].astype("float32").tobytes() for i in some], dtype=object)})
 
 
 def decompose(feats: DataFrame, dims: int = DIMS, passes: int = PASSES, seed: int = 7) -> Space:
@@ -250,14 +250,14 @@ def centroids(feats: DataFrame, labels: DataFrame, names: list[str], space: Spac
     known = labels.filter("key is not null and subject is not null").groupBy("key").agg(F.collect_set("subject").alias("subjects"))
     seeds = cut_lineage(feats.join(known, "key").select("ends", "ids", "subjects"))
 
-    def collect(rows: DataFrame, run) -> np.ndarray:
-        flat = _sum_blocks(rows.mapInPandas(run, "block int, salt int, data binary"), (shape[0] * shape[1], shape[2]))
-        return flat.reshape(shape)
+    def collect(rows: DataFrame, run, wide: int = 0) -> np.ndarray:
+        flat = _sum_blocks(rows.mapInPandas(run, "block int, salt int, data binary"), (shape[0] * shape[1], shape[2] + wide))
+        return flat.reshape(shape[0], shape[1], shape[2] + wide)
 
     def from_seeds(cent: np.ndarray | None):
         def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             sp = Space(*shared.value)
-            total = np.zeros((shape[0] * shape[1], shape[2]), "float64")
+            total = np.zeros((shape[0] * shape[1], shape[2] + (cent is None)), "float64")
             for pdf in _small(batches):
                 vec, lang, doc = sp.sentences(pdf)
                 allow = np.zeros((len(pdf), shape[1]), bool)
@@ -266,8 +266,9 @@ def centroids(feats: DataFrame, labels: DataFrame, names: list[str], space: Spac
                 if cent is None:  # at first every sentence is about its document's subjects
                     allow[:, 0] = ~allow.any(axis=1)
                     share = allow / allow.sum(axis=1, keepdims=True)
+                    counted = np.c_[vec, np.ones(len(vec))]
                     for k in range(shape[1]):
-                        np.add.at(total, lang * shape[1] + k, vec * share[doc, k][:, None])
+                        np.add.at(total, lang * shape[1] + k, counted * share[doc, k][:, None])
                 else:
                     allow[:, 0] = True
                     best = np.where(allow[doc], _nearest(vec, lang, cent), -9).argmax(axis=1)
@@ -290,9 +291,15 @@ def centroids(feats: DataFrame, labels: DataFrame, names: list[str], space: Spac
 
         return run
 
-    cent = collect(seeds, from_seeds(None))
-    if not cent.any():
+    first = collect(seeds, from_seeds(None), wide=1)
+    if not first.any():
         return None
+    # a subject is what its documents have beyond all labelled ones of the language: phrasing drops out
+    every = first.sum(axis=1, keepdims=True)
+    mean = lambda x: x[..., :-1] / np.maximum(x[..., -1:], 1e-9)
+    cent = mean(first) - mean(every)
+    cent[first[..., -1] == 0] = 0
+    cent[:, 0] = np.where(first[:, 0, -1:] > 0, mean(first[:, 0]), mean(every[:, 0]))
     for _ in range(ROUNDS):
         cent = collect(seeds, from_seeds(cent))
     for _ in range(JOIN_ROUNDS):
@@ -320,6 +327,6 @@ def about(documents: DataFrame, key: str, text: str, labels: DataFrame, subjects
             best = _choice(_nearest(vec, lang, cent), COSINE, LEAD)
             count = np.bincount(doc * cent.shape[1] + best, minlength=len(pdf) * cent.shape[1]).reshape(-1, cent.shape[1])
             d, s = np.nonzero(count[:, 1:] >= SENTENCES)
-            yield pd.DataFrame({"key": pdf["key"].to_numpy()[d], "subject": [names[i] for i in s], "sentences": count[d, s + 1].astype("int32")})
+            yield pd.DataFrame({"key": pdf["key"].to_numpy()[d], "subject": pd.Series([names[i] for i in s], dtype=object), "sentences": count[d, s + 1].astype("int32")})
 
     return feats.mapInPandas(run, schema)
