@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strophe.operators.shred import strict_json
+
 TYPES = ("string", "integer", "number", "boolean", "array", "object")
 #: Distinct values that a sketch keeps (the smallest hashes: equal value sets keep equal hashes).
 SKETCH = 48
@@ -237,7 +239,7 @@ class _Stats:
 
 def _object(payload: str | None) -> dict | None:
     try:
-        v = json.loads(payload) if payload is not None else None
+        v = strict_json(payload) if payload is not None else None
     except (ValueError, RecursionError):
         return None
     return v if isinstance(v, dict) else None

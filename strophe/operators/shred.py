@@ -58,11 +58,19 @@ class Nodes:
         return len(self.parent) - 1
 
 
+def _no_constant(name: str) -> None:
+    raise ValueError(f"{name} is no JSON")
+
+
+#: JSON as the standard has it, without NaN and infinities.
+strict_json = json.JSONDecoder(parse_constant=_no_constant).decode
+
+
 def _embedded(value: object) -> object:
     """A string that is itself JSON text of an array or object, read as that."""
     if isinstance(value, str) and value.lstrip()[:1] in ("[", "{"):
         try:
-            return json.loads(value)
+            return strict_json(value)
         except ValueError:
             return value
     return value
@@ -117,7 +125,7 @@ def _parse(payload: str | None) -> object:
     if payload is None:
         return None
     try:
-        return json.loads(payload)
+        return strict_json(payload)
     except (ValueError, RecursionError):
         return None
 

@@ -45,7 +45,7 @@ def brute_children(payloads):
     out = set()
     for key, text in payloads:
         try:
-            art = find(json.loads(text)) if text is not None else None
+            art = find(shred.strict_json(text)) if text is not None else None
         except ValueError:
             continue
         for i, line in enumerate(listed(art["lines"]) if art else []):
@@ -70,7 +70,7 @@ def brute_children(payloads):
 ODD = [
     '{"lines":[{"mora":[{"chars":[{"a":1},null,{"a":2}]},null],"surface_spans":{"mora_indices":0},"display_units":[null,{"mora_indices":[0,1,7,-1,null,0]}]}]}',
     '{"data":{"x":[{"lines":{"tokens":"[{\\"t\\":1}]","mora":"{\\"chars\\":\\"[1,2]\\"}"}}]}}',
-    '{"lines":[null,{"mora":"plain"},5]}', '{"lines":null}', '{"lines":[', None, "null", "[]", "3", '{"x":1}', '{"lines":[{"mora":[]}]}', "",
+    '{"lines":[null,{"mora":"plain"},5]}', '{"lines":null}', '{"lines":[', None, "null", "[]", "3", '{"x":1}', '{"lines":[{"mora":[]}]}', "", '{"lines":[{"x":NaN}]}',
 ]
 
 
