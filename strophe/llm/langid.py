@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strophe.llm.sampling import smallest
+
 LANGS = ("en", "ja", "es", "fr", "de", "pt", "ko", "zh")
 #: Spellings of the languages' names in labels (fixed values of ISO 639 and common names).
 NAMES = {
@@ -41,7 +43,9 @@ SAMPLE_DOCUMENTS, SAMPLE_LINES = 3000, 9000
 #: log2 of the filter's positions, and hash functions.
 BITS, HASHES = 20, 2
 #: An n-gram is a language's if its share there is at least this part of its largest share anywhere.
-SHARE = 0.2
+SHARE = 0.4
+#: Times that an n-gram of several languages should have been seen in another before its absence means something.
+UNSEEN = 15.0
 #: Characters that are worked on at once.
 STEP = 250_000
 #: Price of a change of language, in nats, between the sentences of a document and the words of a line.
@@ -63,8 +67,14 @@ def label_code(c: Column) -> Column:
     return out
 
 
+#: Strings that are marks of formats and models, and addresses; they are no words (fixed values).
+_MARKERS = re.compile(r"<\|[^<>|\n]{1,40}\|>|</?[A-Za-z_]{1,20}>|\[/?[A-Z_]{2,20}\]|\{\{[^{}\n]{1,40}\}\}|https?://\S+")
+
+
 def plain(text: str) -> str:
     """Lower case, compatibility forms and look-alike letters resolved: spelling tricks aren't another language."""
+    if "<" in text or "[" in text or "{" in text or "://" in text:
+        text = _MARKERS.sub(" ", text)
     if text.isascii():
         return text.lower()
     text = unicodedata.normalize("NFKC", text)
@@ -188,6 +198,10 @@ class Filters:
         total = counts.sum(axis=1, keepdims=True)
         share = counts / np.maximum(total, 1)
         has = (share >= SHARE * share.max(axis=0)) & (counts >= 2)
+        # what several languages have (names) is no evidence against one whose sample is too small to show it
+        common = has.sum(axis=0) >= 3
+        usual = np.where(has, share, 0).sum(axis=0) / np.maximum(has.sum(axis=0), 1)
+        has |= common & (total * usual < UNSEEN)
         for i in range(8):
             for p in cls.positions(ids[has[i]]):
                 # each position takes the languages of all n-grams that hash to it
@@ -326,12 +340,12 @@ def slices(sizes: list[int], most: int) -> list[tuple[int, int]]:
     return out
 
 
-def train(spark: SparkSession, sources: list[tuple[DataFrame, str, str, int]]) -> Filters:
-    """Filters from a bounded number of labelled texts of each (table, text column, label column, bound), those with the smallest hashes."""
+def train(spark: SparkSession, sources: list[tuple[DataFrame, str, str, str, int]]) -> Filters:
+    """Filters from a bounded number of labelled texts of each (table, key column, text column, label column, bound)."""
     texts, langs = [], []
-    for df, text, label, sample in sources:
-        rows = df.select(F.col(text).cast("string").alias("t"), label_code(F.col(label)).alias("l")).filter("t is not null and l is not null")
-        for r in rows.orderBy(F.xxhash64("t"), "t").limit(sample).collect():  # bounded by the parameter
+    for df, key, text, label, sample in sources:
+        rows = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("t"), label_code(F.col(label)).alias("l")).filter("t is not null and l is not null")
+        for r in smallest(rows, "key", sample):
             texts.append(plain(r["t"]).replace("\n", " "))
             langs.append(LANGS.index(r["l"]))
     return Filters.train(texts, langs)

@@ -54,7 +54,7 @@ def test_stretches(filters):
 
 
 def test_no_words(filters):
-    assert names(langid.Splitter(filters, False).split(["", "1, 2, 3", "♪", "Na na na", "ラララ", "~ ~", "\n", "x" * 500])) == [[]] * 8
+    assert names(langid.Splitter(filters, False).split(["", "1, 2, 3", "♪", "Na na na", "ラララ", "~ ~", "\n", "x" * 500, "[SEP] [CLS]", "<|endoftext|>"])) == [[]] * 10
     assert names(langid.Splitter(filters, False).split([])) == []
 
 
@@ -77,5 +77,5 @@ def test_labels_and_table(spark, filters):
     assert got == {(3, -1, "fr"), (4, -1, "fr"), (8, -1, "fr"), (9, 0, "fr"), (9, 1, "en")}
     assert all(0.5 < r.confidence <= 1 for r in found.collect())
     assert langid.languages(df.limit(0), "k", "text", "label", filters, False).count() == 0
-    empty = langid.train(spark, [(df.limit(0), "text", "label", 10)])
+    empty = langid.train(spark, [(df.limit(0), "k", "text", "label", 10)])
     assert langid.languages(df, "k", "text", "label", empty, False).count() == 0

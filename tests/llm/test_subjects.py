@@ -36,7 +36,7 @@ def test_held_out_accuracy(spark):
     docs = spark.createDataFrame([(i, t, g, "clash") for i, t, g, _ in rows] + [(900, None, None, ""), (901, "", "en", ""), (902, "♪ 12", "en", "")], "doc_id bigint, text string, lang string, key string").repartition(3)
     labels = spark.createDataFrame([(i, s) for i, _, _, a in rows[:120] for s in (a or {"none"})] * 2, "key bigint, subject string")
     names = spark.createDataFrame([("cooking",), ("law",)], "subject string")
-    filters = langid.train(spark, [(docs, "text", "lang", 500)])
+    filters = langid.train(spark, [(docs, "doc_id", "text", "lang", 500)])
     got = {}
     for r in subjects.about(docs, "doc_id", "text", labels, names, filters).collect():
         got.setdefault(r.key, set()).add(r.subject)
