@@ -4,7 +4,8 @@ Terms are words (pairs of letters for scripts without blanks), weighted by the s
 inverse frequency within their language: words of phrasing are common in each language, words of
 a subject are not. A truncated singular value decomposition of the documents by terms, computed
 by distributed subspace iteration over all documents, gives every term a vector; a sentence is
-the weighted sum of its terms' vectors. Seed centroids per language and subject (and one for text about no
+the weighted sum of its terms' vectors. Each language has its own block of the matrix and its own leading
+directions: one decomposition of all would spend them on the languages with most documents. Seed centroids per language and subject (and one for text about no
 subject) come from labelled documents and are refined in turns: sentences of labelled documents go
 to the nearest of their document's centroids, sentences of documents that are clearly about a
 subject join with a small weight. A document is about the subjects that are nearest by cosine for
@@ -29,8 +30,8 @@ from strophe.session import cut_lineage
 
 #: Hash buckets of the terms of a language, and the languages (the last for text of none).
 BUCKETS, LANGUAGES = 1 << 14, len(langid.LANGS) + 1
-#: Dimensions and passes of the decomposition; power of the inverse frequency; least sentences of a term.
-DIMS, PASSES, POWER, LEAST = 128, 4, 2.0, 3
+#: Dimensions (of each language) and passes of the decomposition; power of the inverse frequency; least sentences of a term.
+DIMS, PASSES, POWER, LEAST = 64, 4, 2.0, 3
 #: A sentence counts for a centroid from this cosine and lead over the next on.
 COSINE, LEAD = 0.2, 0.05
 #: Sentences that make a subject of a document.
@@ -179,7 +180,7 @@ def _emit(matrix: np.ndarray) -> pd.DataFrame:
 
 
 def decompose(feats: DataFrame, dims: int = DIMS, passes: int = PASSES, seed: int = 7) -> Space:
-    """The leading right singular vectors of the weighted documents-by-terms matrix; each pass reads all documents once."""
+    """The leading right singular vectors of each language's block of the weighted documents-by-terms matrix; each pass reads all documents once."""
     df, n = _frequencies(feats)
     used = np.nonzero(df >= LEAST)[0]
     idf = np.log(np.maximum(n[used // BUCKETS], 1) / np.maximum(df[used], 1)) if len(used) else np.empty(0)
@@ -198,13 +199,14 @@ def decompose(feats: DataFrame, dims: int = DIMS, passes: int = PASSES, seed: in
                 ids, sent, doc = _flat(pdf)
                 row = row_of[ids]
                 ok = row >= 0
-                pair, tf = np.unique(doc[sent[ok]] * len(used) + row[ok], return_counts=True)
+                # a row of the matrix is what a document has in one language
+                pair, tf = np.unique((doc[sent[ok]] * LANGUAGES + ids[ok] // BUCKETS) * len(used) + row[ok], return_counts=True)
                 if not len(pair):
                     continue
                 d, t = pair // len(used), pair % len(used)
                 v = ((1 + np.log(tf)) * weight[t]).astype("float32")
-                v /= np.maximum(np.sqrt(np.bincount(d, v * v, minlength=len(pdf))).astype("float32")[d], 1e-9)
-                y = _by_run(d, v[:, None] * q[t], len(pdf))
+                v /= np.maximum(np.sqrt(np.bincount(d, v * v, minlength=len(pdf) * LANGUAGES)).astype("float32")[d], 1e-9)
+                y = _by_run(d, v[:, None] * q[t], len(pdf) * LANGUAGES)
                 order = np.argsort(t, kind="stable")
                 ts = t[order]
                 at = np.nonzero(np.r_[True, ts[1:] != ts[:-1]])[0]
@@ -212,19 +214,19 @@ def decompose(feats: DataFrame, dims: int = DIMS, passes: int = PASSES, seed: in
             yield _emit(total)
 
         z = _sum_blocks(feats.mapInPandas(run, "block int, salt int, data binary"), q.shape)
-        q = np.linalg.qr(z)[0].astype("float32")
+        q = np.zeros_like(q)
+        for g in np.unique(used // BUCKETS):
+            own = np.nonzero(used // BUCKETS == g)[0]
+            part = np.linalg.qr(z[own])[0]
+            q[own, : part.shape[1]] = part
         shared.unpersist()
     space.vectors = q
     return space
 
 
 def _nearest(vec: np.ndarray, lang: np.ndarray, cent: np.ndarray) -> np.ndarray:
-    """Cosines of sentences with the centroids of their language, or of all languages where it has none of a kind."""
-    norm = np.linalg.norm(cent, axis=2, keepdims=True)
-    own = cent / np.maximum(norm, 1e-9)
-    every = cent.sum(axis=0)
-    every = every / np.maximum(np.linalg.norm(every, axis=1, keepdims=True), 1e-9)
-    own = np.where(norm > 1e-9, own, every[None])
+    """Cosines of sentences with the centroids of their language; 0 where it has none of a kind."""
+    own = cent / np.maximum(np.linalg.norm(cent, axis=2, keepdims=True), 1e-9)
     out = np.zeros((len(vec), cent.shape[1]), "float32")
     for g in np.unique(lang):
         at = lang == g
