@@ -37,7 +37,7 @@ COSINE, LEAD = 0.2, 0.05
 #: Sentences that make a subject of a document.
 SENTENCES = 2
 #: Rounds of refinement on labelled documents, then on all; weight, lead and sentences that let others join.
-ROUNDS, JOIN_ROUNDS, JOIN_WEIGHT, JOIN_LEAD, JOIN_SENTENCES = 4, 1, 0.1, 0.3, 4
+ROUNDS, JOIN_ROUNDS, JOIN_WEIGHT, JOIN_LEAD, JOIN_SENTENCES = 4, 2, 0.3, 0.2, 4
 #: Rows of a block of the term matrix as it is summed up.
 BLOCK = 2048
 
