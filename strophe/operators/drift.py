@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strophe.operators.shred import strict_json
+from strophe.session import cut_lineage
 
 TYPES = ("string", "integer", "number", "boolean", "array", "object")
 #: Distinct values that a sketch keeps (the smallest hashes: equal value sets keep equal hashes).
@@ -330,7 +331,7 @@ def _apart(profile: DataFrame, moves: DataFrame) -> DataFrame:
 
 def edit_scripts(exports: DataFrame) -> DataFrame:
     """The edit script of every file against the file before it: (feed, file_seq, change_kind, field_path, old_path)."""
-    profile = profiles(exports)
+    profile = cut_lineage(profiles(exports))  # a row per file and member; read several times below
     moves = _transitions(profile)
     changed = moves.filter(
         F.transform("before", lambda m: F.struct(m["path"], m["types"])) != F.transform("members", lambda m: F.struct(m["path"], m["types"]))
