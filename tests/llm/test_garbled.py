@@ -55,6 +55,16 @@ def test_made_damage_is_found_and_mostly_undone(model, chain):
         assert undone >= 0.8 * n
 
 
+def test_scripts_that_sort_last_are_learned():
+    many = [f"étoile fêlée {i}" for i in range(garbled.SAMPLE + 100)]
+    korean = [f"{t} {i % 7}" for i, t in enumerate(texts(4, 3000)) if "\uac00" <= t[0] <= "\ud7a3"]
+    m = garbled.Model.fit(many + korean)
+    t = CLEAN["ko"][:17]
+    assert m.restore(t) == (False, t)
+    for chain in [(("utf-8", "cp1252"),), (("cp949", "latin_1"),)]:
+        assert m.restore(garbled.garble(t, chain)) == (True, t)
+
+
 def test_lost_characters_count(model):
     assert model.restore("Aqu� no queda m�s")[0]
 
