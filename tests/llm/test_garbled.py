@@ -65,6 +65,17 @@ def test_scripts_that_sort_last_are_learned():
         assert m.restore(garbled.garble(t, chain)) == (True, t)
 
 
+@pytest.mark.parametrize("chain", [(("euc_jp", "latin_1"),), (("utf-8", "cp437"),)])
+def test_a_chain_that_ranks_last_is_tried_too(model, monkeypatch, chain):
+    t = "もう一度遠い海へ"
+    g = garbled.garble(t, chain)
+    ranked = model.stretches(g)
+    last = sorted(ranked, key=lambda x: garbled.invert(g, model.chains[x[1]]) == t)
+    assert len(last) > 16
+    monkeypatch.setattr(model, "stretches", lambda text: last if text == g else [])
+    assert model.undo_once(g) == t
+
+
 def test_lost_characters_count(model):
     assert model.restore("Aqu� no queda m�s")[0]
 
