@@ -37,7 +37,7 @@ def _stretches(spark: SparkSession, sf: str) -> list[tuple[str, DataFrame]]:
     tables = [(table(spark, sf, t), t, k, x, label) for t, k, x, label in LABELLED]
     filters = langid.train(spark, [(df, k, x, label, langid.SAMPLE_DOCUMENTS if t == "documents" else langid.SAMPLE_LINES) for df, t, k, x, label in tables])
     lines = tables[1][0]
-    repair = garbled.repairer(spark, garbled.fit(spark, [(lines, "line_id", "text")]), odd=15.0)  # a few wrong letters don't hide a language
+    repair = garbled.repairer(spark, garbled.fit(spark, [(lines, "line_id", "text")]))
     return [(t, langid.languages(df, k, x, label, filters, t == "documents", repair if t == "lyrics_timeline" else None)) for df, t, k, x, label in tables]
 
 

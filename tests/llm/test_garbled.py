@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from strophe.llm import garbled
+from strophe.llm import garbled, langid, queries
 
 CLEAN = {
     "fr": "Où s'en va la lumière du port après l'été ? Je rêve toujours, je vois une étoile fêlée et le cœur endormi, là où naît la forêt",
@@ -98,6 +98,19 @@ def test_chain_inversion_is_exact():
             assert back is None or back == t or chain[-1][1] in garbled._WIDE
 
 
+def test_lines_with_one_wrong_letter_are_repaired_before_their_language_is_decided(spark, model, monkeypatch):
+    monkeypatch.setattr(queries, "table", lambda spark, sf, t: spark.range(0))
+    monkeypatch.setattr(garbled, "fit", lambda spark, columns: model)
+    monkeypatch.setattr(langid, "train", lambda spark, tables: None)
+    monkeypatch.setattr(langid, "languages", lambda df, k, x, label, filters, long, repair: repair)
+    repair = dict(queries._stretches(spark, ""))["lyrics_timeline"]
+    lines = ["lumière du port", "o último bonde", "não esqueças"]
+    for t in lines:
+        g = t.replace("è", "Ã¨").replace("ú", "Ãº").replace("ã", "Ã£")
+        assert g != t and model.restore(g) == (True, t)
+        assert repair([g, t]) == [t, t]
+
+
 def test_tables(spark, model):
     g = garbled.garble("étoile fêlée", (("utf-8", "latin_1"),))
     df = spark.createDataFrame([(1, g, "x"), (1, g, "x"), (2, None, "x"), (3, "", "x"), (4, "étoile fêlée", "x")], "k bigint, t string, text string")
