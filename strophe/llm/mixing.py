@@ -51,12 +51,12 @@ def token_counts(df: DataFrame, key: str, text: str, path: str = tokens.VOCABULA
     return df.select(*keep, F.col(text).cast("string").alias("_text")).mapInArrow(run, f"{schema}, tokens bigint")
 
 
-def entropy_balance(units: DataFrame, weight: str, features: list[str], targets: list[float], cap: str | None = None, start: list[float] | None = None) -> np.ndarray:
+def entropy_balance(units: DataFrame, weight: str, features: list[str], targets: list[float], cap: str | None = None) -> np.ndarray:
     """lambda of the rates min(cap, exp(lambda . features)) whose weighted feature sums are ``targets``.
 
-    Damped Newton on the dual from ``start``; each step is one aggregation of K + K*(K+1)/2 sums over all rows."""
+    Damped Newton on the dual from 0; each step is one aggregation of K + K*(K+1)/2 sums over all rows."""
     k = len(features)
-    lam = np.zeros(k) if start is None else np.array(start, float)
+    lam = np.zeros(k)
     goal = np.array(targets, float)
     scale = np.maximum(np.abs(goal), 1.0)
 
@@ -128,7 +128,7 @@ def mix(documents: DataFrame, key: str, source: str, text: str, targets: DataFra
     units = counted.withColumn("cap", cap_of).withColumn("w", F.col("tokens").cast("double"))
     for i, s in enumerate(there):
         units = units.withColumn(f"f{i}", (F.col("source") == s).cast("double"))
-    lam = entropy_balance(units, "w", [f"f{i}" for i in range(len(there))], [goal[s] for s in there], "cap", [math.log(goal[s] / have[s]) for s in there])
+    lam = entropy_balance(units, "w", [f"f{i}" for i in range(len(there))], [goal[s] for s in there], "cap")
 
     rate = F.lit(0.0)
     for i, s in enumerate(there):

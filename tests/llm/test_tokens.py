@@ -46,6 +46,14 @@ def test_mix_meets_shares_and_caps(spark):
     assert sum(r.tokens * r.copies for r in rows) == sum(r.tokens for r in got.values())
 
 
+def test_mix_is_solved_by_newton_steps(spark, monkeypatch):
+    targets = spark.createDataFrame([("big", 0.3, 1), ("tiny", 0.6, 3)], "source string, target_share double, max_repeats int")
+    rates = lambda: {r.source: r.rate for r in mixing.mix(docs(spark), "doc_id", "source", "text", targets)[0].select("source", "rate").distinct().collect()}
+    solved = rates()
+    monkeypatch.setattr(mixing, "STEPS", 0)
+    assert set(rates().values()) == {1.0} and solved["tiny"] > 1.2 and solved["big"] <= 1.0
+
+
 def test_mix_of_nothing(spark):
     targets = spark.createDataFrame([("big", 1.0, 1)], "source string, target_share double, max_repeats int")
     used, report = mixing.mix(docs(spark).limit(0), "doc_id", "source", "text", targets)
