@@ -90,6 +90,13 @@ def test_half_damaged(model):
     assert model.restore(good + bad) == (True, good + "帰りたい")
 
 
+def test_many_damaged_words_between_clean_ones(model):
+    bad = garbled.garble("fêlée", (("utf-8", "cp1252"),))
+    for n in (3, 9, 14):
+        words = ["l'été", "fêlée"] * n
+        assert model.restore(" ".join(bad if w == "fêlée" else w for w in words)) == (True, " ".join(words))
+
+
 def test_chain_inversion_is_exact():
     for chain in garbled.CHAINS:
         for t in CLEAN.values():
