@@ -17,24 +17,30 @@ BEFORE = -250
 
 
 def grid_scores(starts: DataFrame, series: DataFrame, keys: Sequence[str], low: int, high: int, step: int, first: float, hop: float, probe_scale: float = 1.0) -> DataFrame:
-    """(keys, offset, score) of every candidate shift: mean of log1p(contrast) over the starts (keys, start_ms).
+    """(keys, offset, score) of every candidate shift: mean of log1p(contrast) over the starts (keys, start_ms)."""
+    per = start_scores(starts.select(*keys, "start_ms", F.monotonically_increasing_id().alias("line")), series, keys, low, high, step, first, hop, probe_scale)
+    return per.groupBy(*keys, "offset").agg(F.avg("score").alias("score"))
+
+
+def start_scores(starts: DataFrame, series: DataFrame, keys: Sequence[str], low: int, high: int, step: int, first: float, hop: float, probe_scale: float = 1.0) -> DataFrame:
+    """(keys, line, offset, score) of every candidate shift at every single start (keys, line, start_ms): log1p(contrast).
 
     The grid has a bounded size, so each start is multiplied by it and all probes become equi joins
     on frame numbers (series: keys, frame_idx, value on a regular grid from ``first`` by ``hop``)."""
     top = series.groupBy(*keys).agg(F.max("frame_idx").alias("_top"))
     offsets = F.sequence(F.lit(low), F.lit(high), F.lit(step))
-    at = starts.select(*keys, "start_ms").withColumn("_id", F.monotonically_increasing_id()).withColumn("offset", F.explode(offsets))
+    at = starts.select(*keys, "line", "start_ms").withColumn("offset", F.explode(offsets))
     probes = F.array(*[F.struct(F.lit(n).alias("probe"), F.lit(float(d * probe_scale)).alias("d")) for n, d in [*((k, v[0]) for k, v in PROBES.items()), ("before", BEFORE)]])
     spread = at.withColumn("_p", F.explode(probes)).join(top, list(keys))
     x = clamp((F.col("start_ms") + F.col("offset") + F.col("_p.d") - first) / hop, F.lit(0.0), F.col("_top").cast("double"))
-    spread = spread.select(*keys, "_id", "offset", F.col("_p.probe").alias("probe"), x.alias("_x"), "_top").withColumn("_k", F.floor("_x"))
+    spread = spread.select(*keys, "line", "offset", F.col("_p.probe").alias("probe"), x.alias("_x"), "_top").withColumn("_k", F.floor("_x"))
     # a frame and its successor in one row, so that one equi join interpolates
     w = Window.partitionBy(*keys).orderBy("frame_idx")
     pairs = series.select(*keys, F.col("frame_idx").alias("_k"), F.col("value").alias("_a"), F.coalesce(F.lead("value").over(w), F.col("value")).alias("_b"))
     got = spread.join(pairs, [*keys, "_k"]).withColumn("v", F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_x") - F.col("_k")))
     value = lambda n: F.max(F.when(F.col("probe") == n, F.col("v")))
-    per = got.groupBy(*keys, "_id", "offset").agg((sum((value(n) * w for n, (_, w) in PROBES.items()), F.lit(0.0)) / F.greatest(value("before"), F.lit(1e-5))).alias("c"))
-    return per.groupBy(*keys, "offset").agg(F.avg(F.log1p(clamp(F.col("c"), F.lit(0.0), F.lit(20.0)))).alias("score"))
+    per = got.groupBy(*keys, "line", "offset").agg((sum((value(n) * w for n, (_, w) in PROBES.items()), F.lit(0.0)) / F.greatest(value("before"), F.lit(1e-5))).alias("c"))
+    return per.select(*keys, "line", "offset", F.log1p(clamp(F.col("c"), F.lit(0.0), F.lit(20.0))).alias("score"))
 
 
 def ranked(scores: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -327,15 +327,20 @@ c AS (SELECT k, event_id, "offset", sum(v * w) / greatest(sum(CASE WHEN n = 'bef
 score AS (SELECT k, "offset", avg(ln(1 + greatest(0.0, least(20.0, c)))) AS score FROM c GROUP BY ALL)"""
 
 
-def _grid(spark, sf):
+def _grid_parts(spark, sf):
+    """(starts with their event as line, series) of every event type, and the grid of shifts."""
     e = table(spark, sf, "events").withColumn("k", F.col("event_type"))
     origin = F.lit("2024-01-01").cast("timestamp_ntz")
     hour = F.timestamp_diff("HOUR", origin, F.date_trunc("hour", F.col("ts")).cast("timestamp_ntz"))
     b = e.groupBy("k", hour.alias("frame_idx")).agg(F.avg("value").alias("value"))
     grid = b.groupBy("k").agg(F.max("frame_idx").alias("m")).select("k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("m"))).alias("frame_idx"))
     series = grid.join(b, ["k", "frame_idx"], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
-    starts = e.filter("value > 150").select("k", (F.timestamp_diff("MINUTE", origin, F.col("ts")) / 60.0).alias("start_ms"))
-    return offset.grid_scores(starts, series, ["k"], -6, 6, 1, 0.0, 1.0, probe_scale=0.01)
+    starts = e.filter("value > 150").select("k", F.col("event_id").alias("line"), (F.timestamp_diff("MINUTE", origin, F.col("ts")) / 60.0).alias("start_ms"))
+    return starts, series, ["k"], -6, 6, 1, 0.0, 1.0, 0.01
+
+
+def _grid(spark, sf):
+    return offset.grid_scores(*_grid_parts(spark, sf))
 
 
 @query(f'WITH {_SERIES} SELECT k, "offset"::INT AS shift, round(score, 6) AS score FROM score')
@@ -567,7 +572,7 @@ def alignment_targets(spark, sf):
 def offset_verification(spark, sf):
     """Proposed shifts of the grid, checked against no shift on the scores of single starts."""
     proposal = offset.estimate(_grid(spark, sf), ["k"], -6, 6).select("k", "offset_ms", "status")
-    scores = _grid(spark, sf).join(table(spark, sf, "events").select(F.col("event_type").alias("k"), F.col("event_type").alias("line")).distinct(), "k").select("k", "offset", "line", "score")
+    scores = offset.start_scores(*_grid_parts(spark, sf))
     keep = scores.join(proposal.select("k", "offset_ms"), "k").filter("offset = 0 or offset = offset_ms").drop("offset_ms")
     return offset.verify(keep, proposal, ["k"])
 

@@ -39,3 +39,13 @@ def test_fold_runs(spark, small, name):
 def test_display_has_no_defects(spark, small):
     bad = queries.display_checks(spark, small).filter("not display_text_matches or not display_onset_monotonic")
     assert bad.count() == 0
+
+
+def test_shifts_are_verified_on_single_starts(spark, small, monkeypatch):
+    scores = []
+    monkeypatch.setattr(queries.offset, "verify", lambda s, proposal, keys: scores.append(s))
+    queries.offset_verification(spark, small)
+    per = scores[0].groupBy("k", "offset").agg({"line": "count", "score": "avg"}).collect()
+    assert per and all(r["count(line)"] >= 2 for r in per)
+    grid = {(r.k, r.shift): r.score for r in queries.offset_grid(spark, small).collect()}
+    assert all(r["avg(score)"] == pytest.approx(grid[r.k, r.offset], abs=1e-5) for r in per)
