@@ -1,4 +1,4 @@
-"""The main flow over a whole catalog: timeline to timed, displayable lines."""
+"""The flow over a whole catalog from timelines to displayable lines, without the audio and alignment stages."""
 
 from __future__ import annotations
 

@@ -579,7 +579,7 @@ def offset_verification(spark, sf):
 
 @query()
 def prepared_lines(spark, sf):
-    """The whole flow from raw timelines to displayable lines, counted by song directory and timing source."""
+    """The flow of ``prepare`` from raw timelines to displayable lines, counted by song directory and timing source."""
     from strophe.config import Config
 
     done = prepare.prepare(table(spark, sf, "lyrics_timeline").filter("start_ms is null or end_ms is null or start_ms <= end_ms"), Config(g2p_backend="kana"))
