@@ -516,8 +516,10 @@ def forced_alignment(spark, sf):
 
 
 def _units_of_lines(spark, sf):
+    """Every line; null times are 0, and a line that ends before its start is empty."""
     lines = _lines(spark, sf, "text", "reading", "start_ms", "end_ms", "singing_start_ms", "singing_end_ms", "activity_confidence", "status", "alignment_status", "timing_source", "surface_spans", "warnings")
-    return lines.filter("start_ms is not null and end_ms is not null and start_ms <= end_ms")
+    start = F.coalesce("start_ms", F.lit(0).cast("bigint"))
+    return lines.withColumns({"start_ms": start, "end_ms": F.greatest("end_ms", start)})
 
 
 @query()
@@ -582,5 +584,5 @@ def prepared_lines(spark, sf):
     """The flow of ``prepare`` from raw timelines to displayable lines, counted by song directory and timing source."""
     from strophe.config import Config
 
-    done = prepare.prepare(table(spark, sf, "lyrics_timeline").filter("start_ms is null or end_ms is null or start_ms <= end_ms"), Config(g2p_backend="kana"))
+    done = prepare.prepare(table(spark, sf, "lyrics_timeline").withColumn("end_ms", F.greatest("end_ms", "start_ms")), Config(g2p_backend="kana"))
     return done.groupBy("song_dir", "timing_source").agg(F.count("*").alias("lines"), F.sum(F.size("display_units")).alias("units"), F.sum(F.size("mora")).alias("mora"))

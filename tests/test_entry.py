@@ -49,3 +49,8 @@ def test_shifts_are_verified_on_single_starts(spark, small, monkeypatch):
     assert per and all(r["count(line)"] >= 2 for r in per)
     grid = {(r.k, r.shift): r.score for r in queries.offset_grid(spark, small).collect()}
     assert all(r["avg(score)"] == pytest.approx(grid[r.k, r.offset], abs=1e-5) for r in per)
+
+
+def test_lines_without_usable_times_are_displayed(spark, small):
+    want = {r.line_key for r in queries._lines(spark, small, "text").collect()}
+    assert {r.line_key for r in queries.display_checks(spark, small).select("line_key").collect()} == want
