@@ -54,11 +54,14 @@ def hira_sql(c: str) -> str:
     return f"translate({c}, '{T.KATAKANA}', '{T.HIRAGANA}')"
 
 
-NON_SUNG_SQL = f"(regexp_matches(text, '(?i)^(?:作詞|作曲|編曲|词|曲|编曲|作词|arranger|lyrics|music){WS}*[:：]') OR regexp_matches(text, '(?i)^{T.DECORATION}{T.INSTRUMENTAL}{T.DECORATION}$'))"
+NON_SUNG_SQL = "regexp_matches(text, '(?i)" + T.NON_SUNG.replace(r"\s", WS) + "')"
 CATEGORY_SQL = """CASE WHEN regexp_matches(text, '[぀-ヿ]') AND regexp_matches(text, '[A-Za-z]') THEN 'kana_latin' WHEN regexp_matches(text, '[぀-ヿ]') THEN 'kana_no_latin'
   WHEN regexp_matches(text, '[A-Za-z]') THEN 'latin_without_kana' WHEN regexp_matches(text, '[㐀-鿿]') THEN 'han_without_kana' ELSE 'other' END"""
 
 
+SPELLED_SQL = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in T.HEPBURN.items()) + "}"
+
+
 # ------------------------------------------------------------------- sources, text
 
 
@@ -113,7 +116,12 @@ def mora_split(spark, sf):
     return _lines(spark, sf, "reading").filter("reading is not null").select("line_key", F.size(m).alias("n"), F.array_join(m, "|").alias("mora"))
 
 
-@query()
+@query(
+    f"""WITH {LINES}, h AS (SELECT line_key, regexp_replace({hira_sql('reading')}, '(っ+)((?:\\P{{L}}|ー)+)(\\p{{L}})', '\\2\\1\\3', 'g') AS r FROM l),
+p AS (SELECT line_key, list_transform(regexp_extract_all(r, '(?s)っ*(?:{'|'.join(T.HEPBURN_TWO)}|[^っ])|っ+$'), lambda x: [replace(x, 'っ', ''), x]) AS parts FROM h),
+v AS (SELECT line_key, list_transform(parts, lambda x: [coalesce({SPELLED_SQL}[x[1]], x[1]), x[2]]) AS parts FROM p)
+SELECT line_key, array_to_string(list_filter(list_transform(parts, lambda x: CASE WHEN starts_with(x[2], 'っ') AND regexp_matches(x[1], '^\\p{{L}}') THEN x[1][1] || x[1] ELSE x[1] END), lambda v: v <> ''), ' ') AS romaji FROM v"""
+)
 def romaji_spelling(spark, sf):
     return _lines(spark, sf, "reading").select("line_key", T.romaji(F.col("reading")).alias("romaji"))
 

@@ -1,4 +1,4 @@
-"""Golden values and exhaustive checks of the order-dependent steps."""
+"""Golden values (fixed by the workload) and exhaustive checks of the order-dependent steps."""
 
 import itertools
 

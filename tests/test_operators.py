@@ -16,15 +16,15 @@ from strophe.sources import catalog
 
 
 def test_text_functions(spark):
-    words = ["きゃっと", "ラムネ", "まっちゃ 12ab", "ー", "っ", "あ・い", "", "夏だっ漢", "カ゛ャ", "ゔぁ", "っっか!"]
+    words = ["きゃっと", "ラムネ", "まっちゃ 12ab", "ー", "っ", "あ・い", "", "夏だっ漢", "カ゛ャ", "ゔぁ", "っっか!", "っ・か", "っーあ"]
     df = spark.createDataFrame([(w,) for w in [*words, None]], "w string")
     rows = df.select("w", T.split_mora(F.col("w")).alias("m"), T.romaji(F.col("w")).alias("r"), T.kata_to_hira(F.col("w")).alias("h")).collect()
     for r in rows:
         if r.w is not None:
-            assert list(r.m) == reading.mora_list(r.w)
+            assert list(r.m) == reading._MORA.findall(reading._DROP.sub("", r.w))
             assert r.r == reading.spell(r.w)
             assert r.h == reading.hira(r.w)
-    assert reading.spell("まっちゃ") == "ma ccha" and reading.mora_list("きゃっと") == ["きゃ", "っ", "と"]
+    assert reading.spell("まっちゃ") == "ma ccha" and reading.mora_ranges("きゃっと") == [(0, 2), (2, 3), (3, 4)]
     flags = spark.createDataFrame([("編曲：demo",), ("~music~",), ("music of mine",), ("　",), ("lyrics : x",)], "w string").select(T.non_sung(F.col("w")).alias("n"), T.is_blank(F.col("w")).alias("b")).collect()
     assert [(r.n, r.b) for r in flags] == [(True, False), (True, False), (False, False), (False, True), (True, False)]
     ruby = spark.createDataFrame([("漢字（かんじ）だ",), ("なし",)], "w string").select(T.ruby(F.col("w")).alias("r")).collect()
@@ -269,3 +269,20 @@ def test_streaming(spark, tmp_path):
         q.processAllAvailable()
         q.stop()
     assert all(r.rms == pytest.approx(3.0) for r in spark.table("w").collect()) and spark.table("w").count() > 0
+
+
+def test_a_large_lexicon_is_joined_instead_of_sent(spark):
+    lines = spark.createDataFrame([(1, "君は夏"), (2, ""), (3, None), (4, "君は夏")], "k int, text string")
+    lexicon = spark.createDataFrame([("君", "キミ", "noun"), ("は", "ハ", "particle"), ("夏", "なつ", "noun"), ("夏", "なつ", "noun")], "surface string, reading string, pos string")
+    sent = reading.convert(lines, "lexicon", lexicon).select("k", "reading", "tokens").collect()
+    joined = reading.convert(lines, "lexicon", lexicon, most_sent=2).select("k", "reading", "tokens").collect()
+    assert sorted(sent) == sorted(joined) and {r.k: r.reading for r in sent}[1] == "きみはなつ"
+    assert [t.alignment_reading for t in sorted(sent)[0].tokens] == [None, "わ", None]
+
+
+def test_playback_of_overlapping_units(spark):
+    units = spark.createDataFrame([("a", 0, 0, 25_000), ("a", 1, 1_000, 2_000), ("a", 2, 30_000, 30_000), ("a", 3, None, 5)], "k string, surface_index int, start_ms bigint, end_ms bigint")
+    times = spark.createDataFrame([("a", 0), ("a", 1_500), ("a", 24_999), ("a", 1_100), ("a", 1_101), ("b", 5), ("a", None)], "k string, t bigint")
+    got = {(r.k, r.t): (r.current, r.previous, r.next) for r in display.playback(units, times, ["k"]).collect()}
+    assert got[("a", 0)] == (0, None, 1) and got[("a", 1_500)] == (1, 1, 2) and got[("a", 24_999)] == (0, 1, 2)
+    assert got[("a", 1_100)][1] == 0 and got[("a", 1_101)][1] == 1 and got[("b", 5)] == (None, None, None)
