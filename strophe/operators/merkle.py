@@ -1,13 +1,19 @@
-"""Incremental processing by a Merkle tree over key ranges.
+"""Incremental processing by a stored Merkle tree over key ranges.
 
 Keys are spread over ranges by the leading bits of a hash of the key. A leaf is one key with the
 digest of its state; a range's digest is the xor and the count of its leaves' digests, an upper
-range's the same of its lower ranges. Comparing two trees descends from the root only into
-ranges whose digests differ and ends with the changed leaves.
+range's the same of its lower ranges. The tree is stored: the digests of all ranges in one small
+table, the leaves in one folder per upper range. Comparing starts at the root, goes down only into
+ranges whose current and saved digests differ, and reads only these ranges' leaves.
 
-Output and tree are published together: both are written into a fresh version folder and become
-visible by one atomic rename of a small manifest, so a run that dies before it leaves the last
-successful version in force and nothing is skipped or repeated.
+A leaf holds two digests: ``state``, and ``done``, what has been processed of it. They differ for a
+key that the last run saw unfinished, so its range differs until it has been processed.
+
+Output and tree are published together: the ranges that changed are written into a fresh version
+folder, the others stay where they are, and one small manifest that names the folder of every range
+becomes visible by one atomic rename. A run that dies before it leaves the last version in force,
+so nothing is skipped or repeated. This needs a file system whose rename is atomic and fails on an
+existing target (HDFS, local); on object stores the manifest folder must lie on such a system.
 
 Defined results: keys that are null form a leaf of their own; a key without a saved state is
 changed; repeated rows of a key resolve to the greatest (time, sequence); empty tables give an
@@ -23,8 +29,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bits of the key hash that number a range, from the level under the root down.
-LEVELS = (8, 16)
+from strophe.session import cut_lineage, shared_dir
+
+#: Bits of the key hash that number the ranges of the two levels under the root. Leaves and output are stored by
+#: upper range, so each version writes and each comparison opens at most 2**UPPER folders.
+UPPER, LOWER = 4, 16
 
 
 def hex_value(c: Column) -> Column:
@@ -51,92 +60,48 @@ def unfinished(stages: Column) -> Column:
     return F.coalesce(F.exists(F.map_values(stages), lambda v: ~F.coalesce(v["status"].isin("done", "skipped"), F.lit(False))), F.lit(False))
 
 
-def leaves(df: DataFrame, key: str, saved: Column, current: Column) -> DataFrame:
-    """(key, ranges, saved digest, current digest); a null digest means that a tree has no such leaf."""
-    h = F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("\u0000")))
-    ranges = [F.shiftrightunsigned(h, 64 - b).alias(f"r{b}") for b in LEVELS]
-    return df.select(F.col(key), *ranges, saved.alias("saved"), current.alias("current"))
+def _range(key: Column, bits: int) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(F.coalesce(key.cast("string"), F.lit("\u0000"))), 64 - bits).cast("int")
 
 
-def _roll(df: DataFrame, by: Sequence[str]) -> DataFrame:
-    """One level up. The leaf's own hash is mixed in so that equal digests of two leaves can't cancel out."""
-    return df.groupBy(*by).agg(
-        F.bit_xor("saved").alias("saved"), F.sum("n_saved").alias("n_saved"), F.bit_xor("current").alias("current"), F.sum("n_current").alias("n_current")
-    )
+def _summed(df: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    return df.groupBy(*by).agg(*(F.bit_xor(c).alias(c) for c in columns), F.sum("n").alias("n"))
 
 
-def tree(leaf: DataFrame, key: str) -> dict[int, DataFrame]:
-    """The levels above the leaves: bits -> (r<bits>, saved, n_saved, current, n_current); 0 is the root."""
-    mixed = leaf.select(
-        *(f"r{b}" for b in LEVELS),
-        F.xxhash64(F.col(key), "saved").alias("x"),
-        F.xxhash64(F.col(key), "current").alias("y"),
-        F.col("saved").isNotNull().cast("bigint").alias("n_saved"),
-        F.col("current").isNotNull().cast("bigint").alias("n_current"),
-    ).select(
-        *(f"r{b}" for b in LEVELS),
-        F.when(F.col("n_saved") == 1, F.col("x")).otherwise(0).alias("saved"),
-        "n_saved",
-        F.when(F.col("n_current") == 1, F.col("y")).otherwise(0).alias("current"),
-        "n_current",
+def range_digests(leaves: DataFrame) -> DataFrame:
+    """(upper, lower, state, done, n) of the lowest ranges of leaves (key, state, done). The key is mixed into
+    a leaf's digest, so equal states of two keys can't cancel out. At most 2**LOWER rows."""
+    mixed = leaves.select(
+        _range(F.col("key"), UPPER).alias("upper"), _range(F.col("key"), LOWER).alias("lower"), F.xxhash64("key", "state").alias("state"), F.xxhash64("key", "done").alias("done"), F.lit(1).cast("bigint").alias("n")
     )
-    out: dict[int, DataFrame] = {}
-    below = mixed
-    for i in range(len(LEVELS) - 1, -1, -1):
-        below = _roll(below, [f"r{b}" for b in LEVELS[: i + 1]])
-        out[LEVELS[i]] = below
-    out[0] = _roll(below, [])
-    return out
-
-
-_DIFFERS = "not (saved <=> current and n_saved <=> n_current)"
-
-
-def changed_leaves(leaf: DataFrame, key: str) -> DataFrame:
-    """(key, saved, current) of the leaves that differ, found by descending only into differing ranges.
-
-    The ranges of a level are at most 2**bits rows (65,536 at the lowest), so the semi joins
-    that prune the descent send a bounded table.
-    """
-    levels = tree(leaf, key)
-    at = levels[LEVELS[0]].filter(_DIFFERS).select(f"r{LEVELS[0]}")
-    for upper, lower in zip(LEVELS, LEVELS[1:]):
-        at = levels[lower].join(F.broadcast(at), f"r{upper}", "left_semi").filter(_DIFFERS).select(f"r{lower}")
-    return leaf.join(F.broadcast(at), f"r{LEVELS[-1]}", "left_semi").filter(~F.col("saved").eqNullSafe(F.col("current"))).select(key, "saved", "current")
-
-
-def last_successful(runs: DataFrame) -> DataFrame:
-    """One row (started_at) of the latest normal run with status ok; started_at is null if there is none."""
-    ok = (F.col("run_status") == "ok") & (F.col("run_mode") == "normal")
-    return runs.filter(ok).agg(F.max("started_at").alias("since"))
+    return _summed(mixed, ["upper", "lower"], ["state", "done"])
 
 
-def log_leaves(log: DataFrame, runs: DataFrame) -> DataFrame:
-    """The leaves of both trees of an append-only log in one aggregation: the state that the last
-    successful run saw and the state now. A state that was seen unfinished has a digest of its own
-    that no current state has."""
-    rows = log.select(
-        "song_dir", "written_at", "log_id", "arrived_at", log_state(F.col("inputs"), F.col("stages")).alias("d"), unfinished(F.col("stages")).alias("open")
-    ).crossJoin(F.broadcast(last_successful(runs)))  # one row
-    order = F.struct("written_at", "log_id")
-    seen = F.col("arrived_at") < F.col("since")
-    state = rows.groupBy("song_dir").agg(
-        F.max_by(F.struct("d", "open"), F.when(seen, order)).alias("s"), F.max_by(F.col("d"), order).alias("current"), F.max(F.when(seen, 1)).alias("was")
-    )
-    saved = F.when(F.col("was") == 1, F.when(F.col("s.open"), F.bitwise_not("current")).otherwise(F.col("s.d")))
-    return leaves(state, "song_dir", saved, F.col("current"))
+def differing_ranges(saved: DataFrame, now: DataFrame) -> DataFrame:
+    """(upper, lower) of the lowest ranges where the current ``state`` isn't the saved ``done``, found from the root down.
+    Both are tables of range digests, at most 2**LOWER rows."""
+    a = saved.select("upper", "lower", F.col("done").alias("a"), F.lit(0).cast("bigint").alias("b"), F.col("n").alias("na"), F.lit(0).cast("bigint").alias("nb"))
+    b = now.select("upper", "lower", F.lit(0).cast("bigint").alias("a"), F.col("state").alias("b"), F.lit(0).cast("bigint").alias("na"), F.col("n").alias("nb"))
+    both = a.unionByName(b)
+    level = lambda df, by: df.groupBy(*by).agg(F.bit_xor("a").alias("a"), F.bit_xor("b").alias("b"), F.sum("na").alias("na"), F.sum("nb").alias("nb"))
+    lowest = level(both, ["upper", "lower"])
+    upper = level(lowest, ["upper"])
+    differs = "not (a <=> b and na <=> nb)"
+    root = upper.agg(F.bit_xor("a").alias("a"), F.bit_xor("b").alias("b"), F.sum("na").alias("na"), F.sum("nb").alias("nb")).filter(differs)
+    inside = upper.filter(differs).join(F.broadcast(root.select(F.lit(True).alias("_open"))), how="cross").select("upper")  # one row or none
+    return lowest.join(F.broadcast(inside), "upper", "left_semi").filter(differs).select("upper", "lower")
 
 
-def changed_directories(log: DataFrame, runs: DataFrame) -> DataFrame:
-    """The directories that the next run has to process: (song_dir)."""
-    return changed_leaves(log_leaves(log, runs), "song_dir").select("song_dir")
+def _small(ranges: DataFrame) -> DataFrame:
+    """Numbers of ranges, at most 2**LOWER rows, as a table of the driver."""
+    return ranges.sparkSession.createDataFrame(ranges.select("upper", "lower").toPandas(), "upper int, lower int")
 
 
 class MerkleStore:
     """Versions of an output with its tree under one folder of a Hadoop file system.
 
-    ``<root>/v=<id>/output`` and ``<root>/v=<id>/tree`` belong together; ``<root>/CURRENT`` names
-    the version in force and is replaced by one rename.
+    ``<root>/v=<id>/leaves|output/upper=<range>`` hold what a version wrote, ``<root>/v=<id>/ranges`` all range
+    digests; ``<root>/manifests/<number>.json`` name the version's folders, and the newest is in force.
     """
 
     def __init__(self, spark: SparkSession, root: str) -> None:
@@ -160,37 +125,83 @@ class MerkleStore:
         finally:
             stream.close()
 
-    def saved_leaves(self, key_type: str = "string") -> DataFrame:
-        """(key, digest) of the version in force; empty before the first."""
+    def remove(self) -> None:
+        self._fs.delete(self._path(self.root), True)
+
+    def ranges(self) -> DataFrame:
+        """The saved range digests; empty before the first version."""
         m = self.manifest()
         if m is None:
-            return self.spark.createDataFrame([], f"key {key_type}, digest bigint")
-        return self.spark.read.parquet(f"{self.root}/v={m['version']}/tree").select("key", "digest")
-
-    def diff(self, current: DataFrame, key: str, digest_col: str) -> DataFrame:
-        """Keys of ``current`` (one row a key) that are new or changed against the saved tree, and keys that went: (key, change)."""
-        now = current.select(F.col(key).alias("key"), F.col(digest_col).alias("digest"))
-        old = self.saved_leaves(current.schema[key].dataType.simpleString())
-        both = now.withColumn("side", F.lit(1)).unionByName(old.withColumn("side", F.lit(0)))
-        state = both.groupBy("key").agg(F.max(F.when(F.col("side") == 0, F.col("digest"))).alias("a"), F.max(F.when(F.col("side") == 1, F.col("digest"))).alias("b"))
-        leaf = leaves(state, "key", F.col("a"), F.col("b"))
-        gone, fresh = F.col("current").isNull(), F.col("saved").isNull()
-        return changed_leaves(leaf, "key").select("key", F.when(fresh, "added").when(gone, "removed").otherwise("changed").alias("change"))
-
-    def publish(self, output: DataFrame, current: DataFrame, key: str, digest_col: str) -> str:
-        """Write output and tree, then make both visible at once; returns the version."""
+            return self.spark.createDataFrame([], "upper int, lower int, state bigint, done bigint, n bigint")
+        return self.spark.read.parquet(f"{self.root}/v={m['version']}/ranges")
+
+    def _stored(self, what: str, uppers: Sequence[int] | None = None) -> DataFrame | None:
+        """The stored leaves or output of these upper ranges (all if None): only their folders are read."""
+        parts = (self.manifest() or {"parts": {}})["parts"]
+        paths = [f"{self.root}/v={v}/{what}/upper={u}" for u, v in sorted(parts.items()) if uppers is None or int(u) in set(uppers)]
+        paths = [p for p in paths if self._fs.exists(self._path(p))]  # a range may have leaves and no output
+        return self.spark.read.parquet(*paths) if paths else None
+
+    def output(self) -> DataFrame | None:
+        return self._stored("output")
+
+    def leaves(self, like: DataFrame, at: DataFrame) -> DataFrame:
+        """The saved leaves of the ranges ``at`` (upper, lower), with the columns of ``like``."""
+        uppers = [r["upper"] for r in at.select("upper").distinct().collect()]  # at most 2**UPPER
+        got = self._stored("leaves", uppers)
+        if got is None:
+            return like.limit(0)
+        return got.join(F.broadcast(at), "lower", "left_semi").select(*like.columns)  # at most 2**LOWER rows
+
+    def diff(self, current: DataFrame) -> DataFrame:
+        """(key, change) of a whole current state ``current`` (key, state), one row a key, against the saved tree: added, changed, removed.
+        Also keys whose saved state hasn't been processed are changed."""
+        now = current.select("key", "state", F.col("state").alias("done"))
+        at = _small(differing_ranges(self.ranges(), range_digests(now)))
+        saved = self.leaves(now, at)
+        own = now.withColumn("lower", _range(F.col("key"), LOWER)).join(F.broadcast(at), "lower", "left_semi").select("key", "state")
+        return _changes(saved, own)
+
+    def changed_since(self, fresh: DataFrame) -> DataFrame:
+        """(key, change) after the rows ``fresh`` (key, version, state) that the saved tree hasn't seen; of a key the
+        greatest version counts, which may be the saved one. Leaves are read only of ranges that fresh
+        rows touch or that hold something unprocessed; the digests of all others are the saved ones."""
+        fresh = fresh.groupBy("key").agg(F.max_by(F.struct("version", "state"), "version").alias("f"), F.max_by(F.col("state"), F.struct("version", "state")).alias("state")).select("key", "f.version", "state")
+        saved = self.ranges()
+        touched = fresh.select(_range(F.col("key"), UPPER).alias("upper"), _range(F.col("key"), LOWER).alias("lower"))
+        visit = _small(touched.union(saved.filter("not (state <=> done)").select("upper", "lower")).distinct())
+        old = self.leaves(fresh.withColumn("done", F.col("state")), visit)
+        both = old.select("key", "version", "state").unionByName(fresh)
+        now = both.groupBy("key").agg(F.max_by("state", F.struct("version", "state")).alias("state"))
+        digests = range_digests(now.withColumn("done", F.col("state"))).unionByName(saved.join(F.broadcast(visit), ["upper", "lower"], "left_anti"))
+        at = differing_ranges(saved, digests)
+        own = now.withColumn("lower", _range(F.col("key"), LOWER)).join(F.broadcast(at), "lower", "left_semi").select("key", "state")
+        return _changes(old.withColumn("lower", _range(F.col("key"), LOWER)).join(F.broadcast(at), "lower", "left_semi"), own)
+
+    def publish(self, output: DataFrame | None, leaves: DataFrame, key: str, uppers: Sequence[int] | None = None) -> str:
+        """Write output (with column ``key``; None where the tree is all there is) and leaves (key, state, done, maybe version), then make both visible at
+        once; returns the version. With ``uppers`` only these upper ranges are written and the others stay as they are."""
         last = self.manifest()
         number = (last["number"] if last else 0) + 1
         version = f"{number:012d}-{uuid.uuid4().hex[:8]}"
         base = f"{self.root}/v={version}"
-        output.write.parquet(f"{base}/output")
-        h = F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("\u0000")))
-        current.select(F.col(key).alias("key"), F.col(digest_col).alias("digest"), F.shiftrightunsigned(h, 64 - LEVELS[-1]).alias("r")).repartitionByRange("r").sortWithinPartitions("r").write.parquet(
-            f"{base}/tree"
-        )
+        some = lambda df: df if uppers is None else df.filter(F.col("upper").isin(list(uppers)))
+        tree = some(leaves.withColumn("upper", _range(F.col("key"), UPPER)).withColumn("lower", _range(F.col("key"), LOWER)))
+        tree.repartitionByRange("upper", "lower").sortWithinPartitions("upper", "lower").write.partitionBy("upper").parquet(f"{base}/leaves")
+        if output is not None:
+            some(output.withColumn("upper", _range(F.col(key), UPPER))).repartitionByRange("upper").write.partitionBy("upper").parquet(f"{base}/output")
+        wrote = self._folders(f"{base}/leaves")
+        written = range_digests(self.spark.read.parquet(f"{base}/leaves")) if wrote else self.ranges().limit(0)
+        if uppers is not None:
+            written = written.unionByName(self.ranges().filter(~F.col("upper").isin(list(uppers))))
+        written.coalesce(1).write.parquet(f"{base}/ranges")
+        parts = {} if uppers is None or last is None else {u: v for u, v in last["parts"].items() if int(u) not in set(uppers)}
+        parts |= dict.fromkeys(wrote, version)
+        if output is not None and (lone := set(self._folders(f"{base}/output")) - set(wrote)):
+            raise ValueError(f"output rows without a leaf in the ranges {sorted(lone)}")
         draft = self._path(f"{base}/manifest.draft")
         stream = self._fs.create(draft, True)
-        stream.write(bytearray(json.dumps({"number": number, "version": version}).encode()))
+        stream.write(bytearray(json.dumps({"number": number, "version": version, "parts": parts}).encode()))
         stream.close()
         self._fs.mkdirs(self._path(f"{self.root}/manifests"))
         # named by number alone: of two writers of the same number only one rename succeeds
@@ -198,6 +209,57 @@ class MerkleStore:
             raise RuntimeError(f"version {number} was published by another run")
         return version
 
-    def output(self) -> DataFrame | None:
-        m = self.manifest()
-        return None if m is None else self.spark.read.parquet(f"{self.root}/v={m['version']}/output")
+    def _folders(self, at: str) -> list[str]:
+        if not self._fs.exists(self._path(at)):
+            return []
+        names = (x.getPath().getName() for x in self._fs.listStatus(self._path(at)))
+        return sorted(n.removeprefix("upper=") for n in names if n.startswith("upper="))
+
+
+def _changes(saved: DataFrame, now: DataFrame) -> DataFrame:
+    a, b = saved.select("key", F.col("done").alias("a")), now.select("key", F.col("state").alias("b"))
+    both = a.withColumn("b", F.lit(None).cast("bigint")).unionByName(b.withColumn("a", F.lit(None).cast("bigint")))
+    state = both.groupBy("key").agg(F.max("a").alias("a"), F.max("b").alias("b")).filter("not (a <=> b)")
+    return state.select("key", F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").otherwise("changed").alias("change"))
+
+
+# ------------------------------------------------------------------- an append-only log
+
+
+def last_successful(runs: DataFrame) -> DataFrame:
+    """One row (since) of the latest normal run with status ok: its started_at, null if there is none."""
+    ok = (F.col("run_status") == "ok") & (F.col("run_mode") == "normal")
+    return runs.filter(ok).agg(F.max("started_at").alias("since"))
+
+
+def log_rows(log: DataFrame) -> DataFrame:
+    """(key, version, state, done) of every row of the log; a state with an unfinished stage hasn't been processed."""
+    state = log_state(F.col("inputs"), F.col("stages"))
+    rows = log.select(F.col("song_dir").alias("key"), F.struct("written_at", "log_id").alias("version"), state.alias("state"), unfinished(F.col("stages")).alias("open"))
+    return rows.select("key", "version", "state", F.when(F.col("open"), F.bitwise_not("state")).otherwise(F.col("state")).alias("done"))
+
+
+def publish_run(store: MerkleStore, log: DataFrame, since) -> str:
+    """What a run that started at ``since`` publishes beside its output: the tree over the states of all directories it saw."""
+    seen = log_rows(log.filter(F.col("arrived_at") < F.lit(since)))
+    leaves = seen.groupBy("key").agg(F.max_by(F.struct("version", "state", "done"), "version").alias("s")).select("key", "s.*")
+    return store.publish(None, leaves, "key")
+
+
+def changed_directories(log: DataFrame, runs: DataFrame, store: MerkleStore | None = None) -> DataFrame:
+    """The directories that the next run has to process: (song_dir).
+
+    With the ``store`` that the last successful run published only the rows that arrived since then are read, and
+    the leaves of the ranges that they touch. Without one its tree is first made from the rows that the run saw, in the shared folder."""
+    since = last_successful(runs).first()["since"]
+    own = store is None
+    if own:
+        store = MerkleStore(log.sparkSession, f"{shared_dir(log.sparkSession)}/merkle-{uuid.uuid4().hex}")
+        if since is not None:
+            publish_run(store, log, since)
+    fresh = log if since is None else log.filter(~F.coalesce(F.col("arrived_at") < F.lit(since), F.lit(False)))
+    found = store.changed_since(log_rows(fresh).select("key", "version", "state")).filter("change != 'removed'").select(F.col("key").alias("song_dir"))
+    if own:
+        found = cut_lineage(found)  # the rows found, before the tree that they were found in goes
+        store.remove()
+    return found

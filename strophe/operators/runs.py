@@ -7,7 +7,11 @@ very long interval costs three rows, not one per shard.
 
 Union: within a shard equal starts keep the longest run before anything is shuffled (exact, and
 it bounds a shard's rows by 65,536 whatever the entity's share of all rows), then a running
-maximum over the sorted starts gives the shard's set runs. Stitching goes over one summary row per occupied shard.
+maximum over the sorted starts gives the shard's set runs.
+
+Stitching: shards stand in blocks of 2**10. What is set before a shard and the run that ends after
+it are found inside the block first, then over one summary row per block, so even an entity that
+holds a third of all rows is spread over as many tasks as it has blocks, and every window only looks back.
 
 Defined results: rows with a null bound or start >= end set no bit; touching runs belong together;
 repeated rows change nothing; an entity without bits has no rows.
@@ -16,11 +20,14 @@ repeated rows change nothing; an entity without bits has no rows.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SHARD_BITS = 16
+#: Shards of a block, as a power of two.
+BLOCK_BITS = 10
 
 
 def _pieces(df: DataFrame, entity: Sequence[str], start: str, end: str) -> DataFrame:
@@ -55,27 +62,37 @@ def run_bitmaps(df: DataFrame, entity: Sequence[str], start: str, end: str) -> D
 
 
 def periods_and_gaps(df: DataFrame, entity: Sequence[str], start: str = "start_ms", end: str = "end_ms") -> DataFrame:
-    """(entity, kind, start_ms, end_ms): maximal set runs (``period``) and the clear runs between neighbours (``gap``)."""
-    maps = run_bitmaps(df, entity, start, end).withColumn("first", F.col("runs")[0]["s"]).withColumn("last", F.element_at("runs", -1)["e"])
-    order = Window.partitionBy(*entity).orderBy("first", F.col("fill").desc())
-    maps = maps.withColumn("carry", F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1)))
-    # clear runs that end at a run of this shard; ``p`` is the set time reached before it
-    before = F.transform("runs", lambda r, i: F.struct(F.greatest(F.col("carry"), F.when(i > 0, F.get(F.col("runs"), i - 1)["e"])).alias("p"), r["s"].alias("s")))
-    maps = maps.withColumn("gaps", F.filter(before, lambda g: g["p"].isNotNull() & (g["s"] > g["p"])))
-    after = order.rowsBetween(1, Window.unboundedFollowing)
-    maps = maps.withColumn("next_end", F.first(F.when(F.size("gaps") > 0, F.col("gaps")[0]["p"]), ignorenulls=True).over(after))
-    maps = maps.withColumn("whole", F.max("last").over(Window.partitionBy(*entity)))
-    starts = F.concat(F.when(F.col("carry").isNull(), F.array("first")).otherwise(F.array().cast("array<bigint>")), F.transform("gaps", lambda g: g["s"]))
-    ends = F.concat(
-        F.when(F.col("carry").isNull(), F.transform("gaps", lambda g: g["p"])).otherwise(F.transform(F.slice("gaps", 2, F.greatest(F.size("gaps"), F.lit(1))), lambda g: g["p"])),
-        F.array(F.coalesce("next_end", "whole")),
+    """(entity, kind, start_ms, end_ms): maximal set runs (``period``) and the clear runs between neighbours (``gap``).
+
+    A cut is a place where a period begins: (p, s), where p is the set time reached before (null at
+    an entity's first period) and s the start. The period ends at the p of the next cut, or with the entity."""
+    maps = run_bitmaps(df, entity, start, end).select(
+        *entity, F.shiftright("shard", BLOCK_BITS).alias("block"), F.col("fill").cast("int").alias("_f"), F.col("runs")[0]["s"].alias("first"), F.element_at("runs", -1)["e"].alias("last"), "runs"
     )
-    maps = maps.withColumn("starts", starts).withColumn("ends", ends)
+    key = [*entity, "block"]
+    whole, order = Window.partitionBy(*entity), lambda w: w.orderBy("first", F.col("_f").desc())
+    back = (Window.unboundedPreceding, -1)
+    same = lambda a, b: reduce(lambda x, y: x & y, (a[k].eqNullSafe(b[k]) for k in key))
+    # what is set before each block, and where the entity ends
+    blocks = maps.groupBy(*key).agg(F.max("last").alias("last"))
+    before = blocks.withColumn("_in", F.max("last").over(whole.orderBy("block").rowsBetween(*back))).drop("last")
+    maps = maps.join(before, same(maps, before), "left").select(maps["*"], before["_in"])
+    maps = maps.withColumn("carry", F.greatest("_in", F.max("last").over(order(Window.partitionBy(*key)).rowsBetween(*back))))
+    at = F.transform("runs", lambda r, i: F.struct(F.greatest(F.col("carry"), F.when(i > 0, F.get(F.col("runs"), i - 1)["e"])).alias("p"), r["s"].alias("s")))
+    cuts = maps.withColumn("cuts", F.filter(at, lambda c: c["p"].isNull() | (c["s"] > c["p"]))).filter(F.size("cuts") > 0).select(*key, "first", "_f", "cuts")
+    # the period that a row's last cut begins ends before the next row's first cut, in this block or a later one
+    head = F.col("cuts")[0]["p"]
+    cuts = cuts.withColumn("_next", F.lead(head).over(order(Window.partitionBy(*key))))
+    heads = cuts.groupBy(*key).agg(F.min_by(head, F.struct("first", -F.col("_f"))).alias("_head"))
+    heads = blocks.join(heads, same(blocks, heads), "left").select(blocks["*"], heads["_head"])
+    after = heads.withColumn("_later", F.last("_head", ignorenulls=True).over(whole.orderBy(F.col("block").desc()).rowsBetween(*back))).withColumn("_end", F.max("last").over(whole)).drop("last", "_head")
+    cuts = cuts.join(after, same(cuts, after), "left").select(cuts["*"], after["_later"], after["_end"])
+    ends = F.concat(F.transform(F.slice("cuts", 2, F.size("cuts")), lambda c: c["p"]), F.array(F.coalesce("_next", "_later", "_end")))
     found = F.concat(
-        F.transform("starts", lambda s, i: F.struct(F.lit("period").alias("kind"), s.alias("start_ms"), F.get(F.col("ends"), i).alias("end_ms"))),
-        F.transform("gaps", lambda g: F.struct(F.lit("gap").alias("kind"), g["p"].alias("start_ms"), g["s"].alias("end_ms"))),
+        F.zip_with("cuts", ends, lambda c, e: F.struct(F.lit("period").alias("kind"), c["s"].alias("start_ms"), e.alias("end_ms"))),
+        F.transform(F.filter("cuts", lambda c: c["p"].isNotNull()), lambda c: F.struct(F.lit("gap").alias("kind"), c["p"].alias("start_ms"), c["s"].alias("end_ms"))),
     )
-    return maps.select(*entity, F.inline(found))
+    return cuts.select(*entity, F.inline(found))
 
 
 def line_periods(lines: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ def local_session(cores: int | str = "*", **conf: Any) -> SparkSession:
         "spark.sql.shuffle.partitions": "8",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
     } | {k: str(v) for k, v in conf.items()}
@@ -25,16 +26,21 @@ def local_session(cores: int | str = "*", **conf: Any) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where none is set (tests)."""
+    """The folder that all executors share. Only a local session without one gets a temporary folder of its own;
+    on a cluster a folder that only one machine sees would lose what other machines wrote."""
     at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = getattr(shared_dir, "_own", None) or "file://" + tempfile.mkdtemp(prefix="strophe-")
-        shared_dir._own = at  # type: ignore[attr-defined]
-    return at
+    if at:
+        return at
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    if getattr(shared_dir, "_own", None) is None:
+        shared_dir._own = "file://" + tempfile.mkdtemp(prefix="strophe-")  # type: ignore[attr-defined]
+    return shared_dir._own  # type: ignore[attr-defined]
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder (never a local one: executors may be lost)."""
+    """Reliable checkpoint in the shared folder (never a local one: executors may be lost). The files go with the
+    DataFrame that nothing refers to any more where the session sets spark.cleaner.referenceTracking.cleanCheckpoints."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(shared_dir(df.sparkSession))

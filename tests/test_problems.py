@@ -151,22 +151,52 @@ def test_spellings_status_and_unfinished(spark):
     assert merkle.changed_directories(log.limit(0), runs_).count() == 0
 
 
+def found(df):
+    return {tuple(r) for r in df.select("key", "change").collect()}
+
+
 def test_store_publishes_output_and_tree_together(spark, tmp_path):
     store = merkle.MerkleStore(spark, f"file://{tmp_path}/store")
-    table = lambda rows: spark.createDataFrame(rows, "k string, d bigint")
-    first = table([("a", 1), ("b", 2), ("c", 3)])
-    assert {tuple(r) for r in store.diff(first, "k", "d").collect()} == {("a", "added"), ("b", "added"), ("c", "added")}
-    store.publish(first, first, "k", "d")
-    assert store.diff(first, "k", "d").count() == 0
-    second = table([("a", 1), ("b", 5), ("d", 4)])
+    table = lambda rows: spark.createDataFrame(rows, "key string, state bigint").withColumn("done", F.col("state"))
+    first = table([("a", 1), ("b", 2), ("c", 3), (None, 9)])
+    assert found(store.diff(first)) == {("a", "added"), ("b", "added"), ("c", "added"), (None, "added")}
+    store.publish(first, first, "key")
+    assert store.diff(first).count() == 0
+    second = table([("a", 1), ("b", 5), ("d", 4), (None, 9)])
     want = {("b", "changed"), ("c", "removed"), ("d", "added")}
-    assert {tuple(r) for r in store.diff(second, "k", "d").collect()} == want
+    assert found(store.diff(second)) == want
     # a run that dies after writing its files but before the rename changes nothing
-    second.write.parquet(f"file://{tmp_path}/store/v=dead/tree")
+    second.write.parquet(f"file://{tmp_path}/store/v=dead/leaves/upper=1")
     again = merkle.MerkleStore(spark, f"file://{tmp_path}/store")
-    assert {tuple(r) for r in again.diff(second, "k", "d").collect()} == want
-    again.publish(second, second, "k", "d")
-    assert again.diff(second, "k", "d").count() == 0 and again.output().count() == 3
+    assert found(again.diff(second)) == want
+    # only the ranges of changed keys are written again
+    keys = [k for k, _ in want]
+    uppers = [r[0] for r in spark.createDataFrame([(k,) for k in keys], "key string").select(merkle._range(F.col("key"), merkle.UPPER)).distinct().collect()]
+    version = again.publish(second, second, "key", uppers)
+    assert again.diff(second).count() == 0 and {r.key for r in again.output().collect()} == {"a", "b", "d", None}
+    assert {v for u, v in again.manifest()["parts"].items() if int(u) in uppers} == {version} and version not in {v for u, v in again.manifest()["parts"].items() if int(u) not in uppers}
+    empty = merkle.MerkleStore(spark, f"file://{tmp_path}/empty")
+    empty.publish(first.limit(0), first.limit(0), "key")
+    assert empty.diff(first.limit(0)).count() == 0 and empty.diff(first).count() == 4
+
+
+def test_files_read_grow_with_the_changes(spark, tmp_path):
+    store = merkle.MerkleStore(spark, f"file://{tmp_path}/store")
+    version = F.struct(F.lit(1).alias("t"))
+    leaves = spark.range(300).select(F.concat(F.lit("k"), "id").alias("key"), version.alias("version"), F.xxhash64("id").alias("state")).withColumn("done", F.col("state"))
+    store.publish(leaves, leaves, "key")
+    newer = F.struct(F.lit(2).alias("t"))
+    some = lambda n: leaves.filter(F.substring("key", 2, 9).cast("int") < n).select("key", newer.alias("version"), (F.col("state") + 1).alias("state"))
+    read = {}
+    for n in (0, 1, 4):
+        fresh = some(n)
+        visit = fresh.select(merkle._range(F.col("key"), merkle.UPPER).alias("upper"), merkle._range(F.col("key"), merkle.LOWER).alias("lower")).distinct()
+        read[n] = len(store.leaves(leaves, visit).inputFiles()) if n else 0
+        assert {r.key for r in store.changed_since(fresh).collect()} == {f"k{i}" for i in range(n)}
+    assert read[1] < read[4] < len(store._stored("leaves").inputFiles())
+    # older rows and rows without news change nothing
+    old = leaves.limit(5).select("key", F.struct(F.lit(0).alias("t")).alias("version"), F.lit(7).cast("bigint").alias("state"))
+    assert store.changed_since(old).count() == 0 and store.changed_since(leaves.select("key", newer.alias("version"), "state")).count() == 0
 
 
 # ------------------------------------------------------------------ drift
