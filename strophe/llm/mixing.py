@@ -14,8 +14,8 @@ tokens contributes nothing and its share is reported as 0; rows of one id count
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -40,10 +40,10 @@ def token_counts(df: DataFrame, key: str, text: str, path: str = tokens.VOCABULA
     """(key, tokens): one row for every row; 0 for null and empty texts."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = tokens.encoding(path)
+        enc = tokens.encoder(path)
         for batch in batches:
             names = batch.schema.names[:-1]
-            n = [len(enc.encode_ordinary(t)) if t else 0 for t in batch.column(batch.num_columns - 1).to_pylist()]
+            n = [len(enc(t)) for t in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n, pa.int64())], names=[*names, "tokens"])
 
     keep = [c for c in df.columns if c != text]
@@ -51,10 +51,21 @@ def token_counts(df: DataFrame, key: str, text: str, path: str = tokens.VOCABULA
     return df.select(*keep, F.col(text).cast("string").alias("_text")).mapInArrow(run, f"{schema}, tokens bigint")
 
 
-def entropy_balance(units: DataFrame, weight: str, features: list[str], targets: list[float], cap: str | None = None) -> np.ndarray:
+class Balance(NamedTuple):
+    """The multipliers, the Newton steps that were taken, and the largest relative error of a constraint that is left."""
+
+    multipliers: np.ndarray
+    steps: int
+    residual: float
+
+
+def entropy_balance(units: DataFrame, weight: str, features: list[str], targets: list[float], cap: str | None = None) -> Balance:
     """lambda of the rates min(cap, exp(lambda . features)) whose weighted feature sums are ``targets``.
 
-    Damped Newton on the dual from 0; each step is one aggregation of K + K*(K+1)/2 sums over all rows."""
+    Damped Newton on the dual from 0; each step is one aggregation of K + K*(K+1)/2 sums over all rows.
+    Rows of equal features and caps are summed up once before, so a step reads what differs only."""
+    alike = [*features, *([cap] if cap else [])]
+    units = cut_lineage(units.groupBy(*alike).agg(F.sum(weight).alias(weight)))
     k = len(features)
     lam = np.zeros(k)
     goal = np.array(targets, float)
@@ -80,6 +91,7 @@ def entropy_balance(units: DataFrame, weight: str, features: list[str], targets:
         return row[0] - float(at @ goal), np.array(row[1 : 1 + k]) - goal, hess
 
     value, grad, hess = sums(lam)
+    taken = 0
     for _ in range(STEPS):
         if np.all(np.abs(grad) <= TOLERANCE * scale):
             break
@@ -94,30 +106,39 @@ def entropy_balance(units: DataFrame, weight: str, features: list[str], targets:
             size /= 2
         lam = lam + size * step
         value, grad, hess = trial
-    return lam
+        taken += 1
+    return Balance(lam, taken, float(np.max(np.abs(grad) / scale, initial=0.0)))
 
 
-def mix(documents: DataFrame, key: str, source: str, text: str, targets: DataFrame, total: float | None = None, path: str = tokens.VOCABULARY) -> tuple[DataFrame, DataFrame]:
+def mix(
+    documents: DataFrame, key: str, source: str, text: str, targets: DataFrame, total: float | None = None, path: str = tokens.VOCABULARY, margins: dict[str, dict[str, float]] | None = None
+) -> tuple[DataFrame, DataFrame]:
     """(key, source, tokens, rate, copies) of the documents used, and the report
-    (source, target_share, actual_share, tokens, documents, max_copies).
+    (source, target_share, actual_share, tokens, documents, max_copies, newton_steps, residual).
 
-    ``targets`` (source, target_share, max_repeats) is a parameter table of a row per source.
+    ``targets`` (source, target_share, max_repeats) is a parameter table of a row per source. ``margins`` adds
+    constraints: {column: {value: share of all tokens}}. Documents of one source then get different
+    rates, tilted by their values; other values of the column take what is left.
     """
     want = {}
     for r in targets.select(source_name(F.col("source")).alias("s"), "target_share", "max_repeats").collect():  # a row per listed source
         if r["s"] is not None and r["target_share"] and r["target_share"] > 0 and (r["max_repeats"] or 0) > 0:
             want[r["s"]] = (float(r["target_share"]), int(r["max_repeats"]))
     names = sorted(want)
-    rows = documents.select(F.col(key).alias("key"), source_name(F.col(source).cast("string")).alias("source"), F.col(text).alias("text"))
+    margins = margins or {}
+    marks = [F.col(c).cast("string").alias(f"m{i}") for i, c in enumerate(margins)]
+    rows = documents.select(F.col(key).alias("key"), source_name(F.col(source).cast("string")).alias("source"), *marks, F.col(text).alias("text"))
     rows = rows.filter(F.col("source").isin(names) & F.col("key").isNotNull()) if names else rows.limit(0)
-    counted = cut_lineage(token_counts(rows, "key", "text", path).groupBy("key").agg(F.max_by("source", F.struct("tokens", "source")).alias("source"), F.max("tokens").alias("tokens")).filter("tokens > 0"))
+    kept = [f"m{i}" for i in range(len(margins))]
+    best = F.max_by(F.struct("source", *kept), F.struct("tokens", "source", *kept)).alias("b")
+    counted = cut_lineage(token_counts(rows, "key", "text", path).groupBy("key").agg(best, F.max("tokens").alias("tokens")).filter("tokens > 0").select("key", "b.*", "tokens"))
 
     have = {r["source"]: int(r["n"]) for r in counted.groupBy("source").agg(F.sum("tokens").alias("n")).collect()}  # a row per listed source
     there = [s for s in names if have.get(s)]
     weight = sum(want[s][0] for s in there)
     if not there:
         empty = counted.select("key", "source", "tokens", F.lit(0.0).alias("rate"), F.lit(0).alias("copies")).limit(0)
-        return empty.withColumnRenamed("key", key), _report(empty, targets)
+        return empty.withColumnRenamed("key", key), _report(empty, targets, Balance(np.zeros(0), 0, 0.0))
     most = min(want[s][1] * have[s] / (want[s][0] / weight) for s in there)
     total = most if total is None else min(float(total), most)
     goal = {s: total * want[s][0] / weight for s in there}
@@ -125,22 +146,26 @@ def mix(documents: DataFrame, key: str, source: str, text: str, targets: DataFra
     cap_of = F.lit(None).cast("double")
     for s in there:
         cap_of = F.when(F.col("source") == s, float(want[s][1])).otherwise(cap_of)
-    units = counted.withColumn("cap", cap_of).withColumn("w", F.col("tokens").cast("double"))
-    for i, s in enumerate(there):
-        units = units.withColumn(f"f{i}", (F.col("source") == s).cast("double"))
-    lam = entropy_balance(units, "w", [f"f{i}" for i in range(len(there))], [goal[s] for s in there], "cap")
-
-    rate = F.lit(0.0)
-    for i, s in enumerate(there):
-        rate = F.when(F.col("source") == s, min(float(want[s][1]), math.exp(min(700.0, lam[i])))).otherwise(rate)
-    rated = units.select("key", "source", "tokens", "cap", rate.alias("rate"))
-    rated = rated.withColumn("whole", F.floor("rate")).withColumn("room", F.col("whole") < F.col("cap")).withColumn("u", F.shiftrightunsigned(F.xxhash64("key", F.lit("copies")), 16))
+    conditions = [(F.col("source") == s, goal[s]) for s in there]
+    conditions += [(F.coalesce(F.col(f"m{i}") == v, F.lit(False)), total * share) for i, shares in enumerate(margins.values()) for v, share in sorted(shares.items())]
+    units = counted.withColumn("cap", cap_of).withColumn("w", F.col("tokens").cast("double")).withColumns({f"f{i}": c.cast("double") for i, (c, _) in enumerate(conditions)})
+    solved = entropy_balance(units, "w", [f"f{i}" for i in range(len(conditions))], [g for _, g in conditions], "cap")
+
+    # a document's rate: the exponential of its own features' multipliers, up to its source's cap
+    dot = sum((F.lit(float(m)) * F.col(f"f{i}") for i, m in enumerate(solved.multipliers)), F.lit(0.0))
+    rated = units.select("key", "source", "tokens", "cap", F.exp(F.least(dot, F.ln("cap"))).alias("rate"))
+    near = F.abs(F.col("rate") - F.round("rate")) < 1e-9  # whole rates but for rounding
+    rated = rated.withColumn("whole", F.when(near, F.round("rate")).otherwise(F.floor("rate")).cast("bigint"))
+    rated = rated.withColumn("part", F.when(near, F.lit(0.0)).otherwise(F.col("rate") - F.col("whole"))).withColumn("room", F.col("whole") < F.col("cap"))
+    # the fraction of a rate is the chance of one copy more: a hash over the fraction, so that one threshold serves all rates of a source
+    chance = F.shiftrightunsigned(F.xxhash64("key", F.lit("copies")), 16) / F.greatest(F.col("part"), F.lit(1e-6))
+    rated = rated.withColumn("u", F.least(chance, F.lit(float((1 << 48) - 1))).cast("bigint")) if margins else rated.withColumn("u", F.shiftrightunsigned(F.xxhash64("key", F.lit("copies")), 16))
     threshold = _thresholds(rated, goal)
     under = F.lit(False)
     for s in there:
         under = F.when(F.col("source") == s, F.col("u") < threshold[s]).otherwise(under)
     used = rated.select("key", "source", "tokens", "rate", (F.col("whole") + (F.col("room") & under).cast("int")).cast("int").alias("copies")).filter("copies > 0")
-    return used.withColumnRenamed("key", key), _report(used, targets)
+    return used.withColumnRenamed("key", key), _report(used, targets, solved)
 
 
 def _thresholds(rated: DataFrame, goal: dict[str, float]) -> dict[str, int]:
@@ -176,7 +201,7 @@ def _thresholds(rated: DataFrame, goal: dict[str, float]) -> dict[str, int]:
     return low
 
 
-def _report(used: DataFrame, targets: DataFrame) -> DataFrame:
+def _report(used: DataFrame, targets: DataFrame, solved: Balance) -> DataFrame:
     got = used.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("tokens"), F.count("*").alias("documents"), F.max("copies").alias("max_copies"))
     whole = got.agg(F.sum("tokens").alias("total"))
     want = targets.select(source_name(F.col("source")).alias("source"), F.col("target_share").cast("double").alias("target_share")).distinct()
@@ -184,5 +209,5 @@ def _report(used: DataFrame, targets: DataFrame) -> DataFrame:
     return (
         want.join(F.broadcast(got), "source", "left")
         .crossJoin(F.broadcast(whole))  # one row
-        .select("source", "target_share", F.round(F.coalesce(n / F.col("total"), F.lit(0.0)), 6).alias("actual_share"), n.cast("bigint").alias("tokens"), F.coalesce("documents", F.lit(0)).cast("bigint").alias("documents"), F.coalesce("max_copies", F.lit(0)).alias("max_copies"))
+        .select("source", "target_share", F.round(F.coalesce(n / F.col("total"), F.lit(0.0)), 6).alias("actual_share"), n.cast("bigint").alias("tokens"), F.coalesce("documents", F.lit(0)).cast("bigint").alias("documents"), F.coalesce("max_copies", F.lit(0)).alias("max_copies"), F.lit(solved.steps).alias("newton_steps"), F.lit(solved.residual).alias("residual"))
     )

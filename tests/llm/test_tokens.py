@@ -1,26 +1,52 @@
 import os
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
-from strophe.llm import mixing, tokens
+from strophe.llm import tokens
 
 pytestmark = pytest.mark.skipif(not os.path.exists(tokens.VOCABULARY), reason="no vocabulary files here")
 
 TEXTS = ["", None, "  two  blanks\n\n \tand tabs ", "<|endoftext|> isn't special", "もう一度遠い海へ " * 30, "x" * 700, "a\n\nb  c\r\n  d" * 40, "🎤🎶 é ​", "word " * 200, "12345 6789, don't!"]
 
 
-@pytest.mark.parametrize("chunk,overlap", [(40, 15), (97, 31), (200, 60), (200_000, 2_000)])
-def test_chunks_give_the_ids_of_the_whole(spark, chunk, overlap):
+@pytest.mark.parametrize("chunk,overlap", [(1, 1), (7, 3), (40, 15), (97, 31), (1_000, 100)])
+def test_chunks_give_the_ids_of_the_whole(chunk, overlap):
+    enc = tokens.Encoder()
+    for t in TEXTS:
+        assert enc(t, chunk, overlap) == tokens.encode(t)
+        assert tokens.decode(enc(t, chunk, overlap)) == (t or "")
+
+
+@given(st.text(alphabet="ab '’sd\n\t  1é夜🎤.", max_size=200), st.integers(1, 30), st.integers(1, 12))
+@settings(max_examples=300, deadline=None)
+def test_any_text_any_chunk(text, chunk, overlap):
+    assert tokens.encoder()(text, chunk, overlap) == tokens.encode(text)
+
+
+@pytest.mark.parametrize("segment,overlap", [(40, 15), (97, 31), (tokens.SEGMENT, tokens.SEGMENT_OVERLAP)])
+def test_segments_give_the_ids_of_the_whole(spark, segment, overlap):
     df = spark.createDataFrame([(i, t, [1]) for i, t in enumerate(TEXTS)] + [(100, TEXTS[4], [1]), (100, TEXTS[4], [1])], "id bigint, text string, ids array<int>")
-    rows = tokens.token_ids(df, "id", "text", chunk=chunk, overlap=overlap).collect()
+    rows = tokens.token_ids(df, "id", "text", chunk=30, overlap=10, segment=segment, segment_overlap=overlap).collect()
     assert len(rows) == len(TEXTS) + 2
     for r in rows:
-        t = TEXTS[4] if r.id == 100 else TEXTS[r.id]
-        assert list(r.ids) == tokens.encode(t)
-        assert tokens.decode(r.ids) == (t or "")
+        assert list(r.ids) == tokens.encode(TEXTS[4] if r.id == 100 else TEXTS[r.id])
     assert tokens.token_ids(df.limit(0), "id", "text").count() == 0
 
 
+def test_documents_go_through_the_stitch():
+    import pyarrow.parquet as pq
+
+    path = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test data here")
+    texts = [t for t in pq.read_table(path, columns=["text"])["text"].to_pylist() if t]
+    joined = [tokens.pre_tokens(t)[1] for t in texts]
+    assert sum(j > 1 for j in joined) == sum(len(t) > tokens.CHUNK + tokens.OVERLAP for t in texts) > 50
+    assert all(tokens.encoder()(t) == tokens.encode(t) for t in texts)
+
+
 def test_other_library_agrees():
     tk = pytest.importorskip("tokenizers")
     path = tokens.VOCABULARY.replace(".tiktoken", ".json")
@@ -29,44 +55,3 @@ def test_other_library_agrees():
     for x in TEXTS:
         if x:
             assert tokens.encode(x) == t.encode(x, add_special_tokens=False).ids
-
-
-def docs(spark):
-    rows = [(i, "big" if i % 3 else " Tiny", "word " * (5 + i % 17)) for i in range(300)] + [(1000, None, "word"), (1001, "other", "word"), (1002, "big", None), (1003, "big", ""), (5, "big", "word " * 10)]
-    return spark.createDataFrame(rows, "doc_id bigint, source string, text string")
-
-
-def test_mix_meets_shares_and_caps(spark):
-    targets = spark.createDataFrame([("big", 0.3, 1), ("tiny", 0.6, 3), ("absent", 0.1, 2)], "source string, target_share double, max_repeats int")
-    used, report = mixing.mix(docs(spark), "doc_id", "source", "text", targets)
-    rows = used.collect()
-    assert len({r.doc_id for r in rows}) == len(rows) and all(1 <= r.copies <= (3 if r.source == "tiny" else 1) for r in rows)
-    got = {r.source: r for r in report.collect()}
-    assert got["absent"].actual_share == 0 and got["big"].actual_share == pytest.approx(1 / 3, abs=0.01) and got["tiny"].actual_share == pytest.approx(2 / 3, abs=0.01)
-    assert sum(r.tokens * r.copies for r in rows) == sum(r.tokens for r in got.values())
-
-
-def test_mix_is_solved_by_newton_steps(spark, monkeypatch):
-    targets = spark.createDataFrame([("big", 0.3, 1), ("tiny", 0.6, 3)], "source string, target_share double, max_repeats int")
-    rates = lambda: {r.source: r.rate for r in mixing.mix(docs(spark), "doc_id", "source", "text", targets)[0].select("source", "rate").distinct().collect()}
-    solved = rates()
-    monkeypatch.setattr(mixing, "STEPS", 0)
-    assert set(rates().values()) == {1.0} and solved["tiny"] > 1.2 and solved["big"] <= 1.0
-
-
-def test_mix_of_nothing(spark):
-    targets = spark.createDataFrame([("big", 1.0, 1)], "source string, target_share double, max_repeats int")
-    used, report = mixing.mix(docs(spark).limit(0), "doc_id", "source", "text", targets)
-    assert used.count() == 0 and report.first().actual_share == 0
-
-
-def test_newton_solves_overlapping_constraints(spark):
-    """Two features that documents share: rates must reproduce given weighted sums."""
-    rows = [(float(1 + i % 5), float(i % 2), float(i % 3)) for i in range(60)]
-    df = spark.createDataFrame(rows, "w double, a double, b double")
-    want = [sum(w * a * 0.7 for w, a, _ in rows), sum(w * b * 0.9 for w, _, b in rows)]
-    lam = mixing.entropy_balance(df, "w", ["a", "b"], want)
-    import math
-
-    got = [sum(w * f[k] * math.exp(lam[0] * f[0] + lam[1] * f[1]) for w, *f in rows) for k in (0, 1)]
-    assert got == pytest.approx(want, rel=1e-6)
