@@ -149,13 +149,15 @@ def _encode_batches(path: str, chunk: int, overlap: int):
 
 
 def _split_batches(segment: int, overlap: int, chunk: int, chunk_overlap: int):
-    """Boundaries of segments inside their overlaps, counted from where the next segment begins."""
+    """Boundaries of segments inside their overlaps, counted from where the next segment begins. None stands after a
+    blank: how blanks are split depends on what follows, which a piece doesn't have."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             heads, tails = [], []
             for i, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 ends = _ends(pre_tokens(t, chunk, chunk_overlap)[0], 0)
+                ends = ends[[not t[e - 1].isspace() for e in ends]]
                 heads.append(ends[ends < overlap].tolist() if i else [0])
                 tails.append((ends[(ends >= segment) & (ends < len(t))] - segment).tolist() if len(t) > segment else [])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(heads, pa.list_(pa.int32())), pa.array(tails, pa.list_(pa.int32()))], names=[*batch.schema.names, "heads", "tails"])
