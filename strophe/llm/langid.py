@@ -104,14 +104,14 @@ _KANA = np.zeros(0x3100, bool)
 _KANA[0x3041:0x3100] = True
 #: Languages of a filter byte as eight counters in one word.
 _LANES = np.array([sum(((m >> i) & 1) << (8 * i) for i in range(8)) for m in range(256)], "uint64")
-_LONGEST = 200  # letters of a word; more are no word (and would overflow the counters)
+_LONGEST = 200  # letters of a word; a longer run is cut (it would overflow the counters)
 
 
 class Grams:
     """The n-grams of a batch of texts, by size: hashes in order and the word each is of.
 
     Words are runs of letters of one class; runs of kana and han also end where kana gives way to
-    han, and after 64 letters. N-grams of 3 to 5 letters may take in the blank around a word,
+    han, and after 64 letters; other runs of more than 200 letters are cut after every 64. N-grams of 3 to 5 letters may take in the blank around a word,
     those of kana and han have 1 to 3 letters.
     """
 
@@ -123,12 +123,13 @@ class Grams:
         kana = _KANA[np.minimum(cp, len(_KANA) - 1)]
         edge = np.r_[True, (kind[1:] != kind[:-1]) | ((kind[1:] == 2) & ((kana[:-1] & ~kana[1:]) | (np.arange(1, n) % 64 == 0)))] & (kind > 0)
         word = np.cumsum(edge, dtype="int32") - 1
+        size = np.bincount(word[kind > 0]) if edge.any() else np.zeros(1, "int64")
+        if size.max() > _LONGEST:  # letters without blanks between are cut like those of kana and han
+            inner = np.arange(n) - np.nonzero(edge)[0][np.maximum(word, 0)]
+            edge |= (kind > 0) & (size[np.maximum(word, 0)] > _LONGEST) & (inner % 64 == 0)
+            word = np.cumsum(edge, dtype="int32") - 1
         self.starts = np.nonzero(edge)[0]
         self.words = len(self.starts)
-        if self.words:
-            size = np.bincount(word[kind > 0], minlength=self.words)
-            if size.max() > _LONGEST:
-                kind = np.where((kind > 0) & (size[np.maximum(word, 0)] > _LONGEST), np.uint8(0), kind)
         word = np.where(kind > 0, word, -1)
         one = np.where(kind == 0, np.uint32(32), cp) * np.uint32(0x9E3779B1)
         h = one

@@ -65,6 +65,11 @@ def p6_forms(spark: SparkSession, sf: str) -> DataFrame:
     return lookalike.forms(table(spark, sf, "lyrics_timeline"), ["line_id"], "text").select("line_id", "form").distinct()
 
 
+def p6_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """Every lyric line with the smallest line_id of its song directory that looks the same."""
+    return lookalike.classes(table(spark, sf, "lyrics_timeline"), "song_dir", "line_id", "text").select("line_id", "class_key")
+
+
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.token_ids(table(spark, sf, "documents"), "doc_id", "text")
 
@@ -101,5 +106,5 @@ def p10_composition(spark: SparkSession, sf: str) -> DataFrame:
     return found.groupBy("source", "subject").agg(F.count("*").alias("documents"), F.sum("sentences").alias("sentences"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_stretches, p5_found, p5_restored, p6_found, p6_forms, p8_ids, p9_copies, p9_shares, p10_found, p10_composition)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_stretches, p5_found, p5_restored, p6_found, p6_forms, p6_classes, p8_ids, p9_copies, p9_shares, p10_found, p10_composition)}
 SQL: dict[str, str] = {}

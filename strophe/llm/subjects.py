@@ -40,6 +40,8 @@ SENTENCES = 2
 ROUNDS, JOIN_ROUNDS, JOIN_WEIGHT, JOIN_LEAD, JOIN_SENTENCES = 4, 2, 0.3, 0.2, 4
 #: Rows of a block of the term matrix as it is summed up.
 BLOCK = 2048
+#: Tasks of a pass at most (more partitions are taken together), and partials that one group adds up.
+MOST_TASKS, FAN_IN = 2048, 48
 
 _WORD = re.compile(r"[^\W\d_]+")
 _NO_BLANKS = re.compile("[぀-ヿ㐀-鿿]")
@@ -155,16 +157,25 @@ def _frequencies(feats: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return df, n
 
 
+def _few(feats: DataFrame) -> DataFrame:
+    """The same rows in at most MOST_TASKS partitions: each task of a pass sends the whole matrix once, so their number bounds what is shuffled."""
+    n = feats.rdd.getNumPartitions()
+    return feats.coalesce(MOST_TASKS) if n > MOST_TASKS else feats
+
+
 def _sum_blocks(parts: DataFrame, shape: tuple[int, int]) -> np.ndarray:
-    """The sum of matrices that partitions emit in blocks (block, salt, bytes); summed in two steps so that no task holds many partials."""
+    """The sum of matrices that partitions send in blocks (block, salt, bytes), in rounds that add at most FAN_IN partials a group."""
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         total = sum(np.frombuffer(b, "float32").astype("float64") for b in pdf["data"])
-        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "salt": [0], "data": [total.astype("float32").tobytes()]})
+        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "salt": [pdf["salt"].iloc[0] // FAN_IN], "data": [total.astype("float32").tobytes()]})
 
-    schema = "block int, salt int, data binary"
+    tasks = MOST_TASKS
+    while tasks > 1:
+        parts = parts.groupBy("block", "salt").applyInPandas(add, "block int, salt int, data binary")
+        tasks = -(-tasks // FAN_IN)
     out = np.zeros(shape, "float64")
-    for r in parts.groupBy("block", "salt").applyInPandas(add, schema).groupBy("block").applyInPandas(add, schema).collect():  # the matrix itself
+    for r in parts.collect():  # the matrix itself
         part = np.frombuffer(r["data"], "float32").reshape(-1, shape[1])
         out[r["block"] * BLOCK : r["block"] * BLOCK + len(part)] = part
     return out
@@ -176,7 +187,7 @@ def _emit(matrix: np.ndarray) -> pd.DataFrame:
     pid = TaskContext.get().partitionId()
     blocks = [matrix[i : i + BLOCK] for i in range(0, len(matrix), BLOCK)]
     some = [i for i, b in enumerate(blocks) if b.any()]
-    return pd.DataFrame({"block": pd.array(some, "int32"), "salt": pd.array([pid % 32] * len(some), "int32"), "data": pd.Series([blocks[i].astype("float32").tobytes() for i in some], dtype=object)})
+    return pd.DataFrame({"block": pd.array(some, "int32"), "salt": pd.array([pid // FAN_IN] * len(some), "int32"), "data": pd.Series([blocks[i].astype("float32").tobytes() for i in some], dtype=object)})
 
 
 def decompose(feats: DataFrame, dims: int = DIMS, passes: int = PASSES, seed: int = 7) -> Space:
@@ -213,7 +224,7 @@ def decompose(feats: DataFrame, dims: int = DIMS, passes: int = PASSES, seed: in
                 total[ts[at]] += np.add.reduceat(v[order][:, None] * y[d[order]], at, axis=0)
             yield _emit(total)
 
-        z = _sum_blocks(feats.mapInPandas(run, "block int, salt int, data binary"), q.shape)
+        z = _sum_blocks(_few(feats).mapInPandas(run, "block int, salt int, data binary"), q.shape)
         q = np.zeros_like(q)
         for g in np.unique(used // BUCKETS):
             own = np.nonzero(used // BUCKETS == g)[0]
@@ -253,7 +264,7 @@ def centroids(feats: DataFrame, labels: DataFrame, names: list[str], space: Spac
     seeds = cut_lineage(feats.join(known, "key").select("ends", "ids", "subjects"))
 
     def collect(rows: DataFrame, run, wide: int = 0) -> np.ndarray:
-        flat = _sum_blocks(rows.mapInPandas(run, "block int, salt int, data binary"), (shape[0] * shape[1], shape[2] + wide))
+        flat = _sum_blocks(_few(rows).mapInPandas(run, "block int, salt int, data binary"), (shape[0] * shape[1], shape[2] + wide))
         return flat.reshape(shape[0], shape[1], shape[2] + wide)
 
     def from_seeds(cent: np.ndarray | None):
