@@ -7,8 +7,8 @@ scripts of a feed are compiled into one projection per file that maps its member
 names, and applied to every row.
 
 Renaming costs what the names and the value profiles of the two members differ by. Two members
-that stand side by side in any file of the whole corpus carry different information and are
-never a renaming of each other.
+that stand side by side in a part of all files carry different information and are never a
+renaming of each other.
 
 Defined results: broken, null and non-object payloads have no members; a file without members is
 skipped over when it is compared (its successor has no changes against it); a member whose values
@@ -17,7 +17,9 @@ are all null has no type and doesn't count as retyped; files delivered twice cou
 
 from __future__ import annotations
 
+import heapq
 import json
+import math
 import re
 from collections.abc import Iterable, Iterator
 
@@ -35,6 +37,8 @@ SKETCH = 48
 ADD, DELETE, MOVE = 1.0, 1.0, 1.5
 #: A renaming that costs more than this is an addition and a deletion.
 RENAME_MOST = 1.0
+#: Part of the files that have the rarer of two members in which both must stand to be different things.
+BESIDE = 0.02
 #: Words that members are named by and that mean the same.
 SYNONYMS = (
     ("start", "begin", "from", "onset"), ("end", "stop", "finish", "until"), ("source", "src", "origin"),
@@ -140,48 +144,98 @@ def assign(costs: list[list[float]], skip: float) -> list[tuple[int, int]]:
     return [(match[j] - 1, j - 1) for j in range(1, m + 1) if match[j] - 1 < n and costs[match[j] - 1][j - 1] < skip]
 
 
+#: Ways to pair the free objects of two trees that are tried one by one; beyond, pairings are improved step by step.
+MOST_PAIRINGS = 5_000
+
+
+def _pairings(a: list[dict], b: list[dict]) -> Iterator[dict[tuple, tuple]]:
+    """All ways to pair some of a with some of b, as path -> path."""
+    if not a:
+        yield {}
+        return
+    for rest in _pairings(a[1:], b):
+        yield rest
+        used = set(rest.values())
+        for y in b:
+            if y["path"] not in used:
+                yield {a[0]["path"]: y["path"], **rest}
+
+
+def _count_pairings(n: int, m: int) -> int:
+    return sum(math.comb(n, k) * math.comb(m, k) * math.factorial(k) for k in range(min(n, m) + 1))
+
+
+class _Trees:
+    """Two schema trees. Members of equal path are kept: a name that both files have at one place didn't go.
+
+    The others are free. A mapping pairs free members one to one; it costs what its renamings and
+    moves cost and ADD or DELETE for every member that is left. A pair is a move if the parents aren't paired. Given
+    which free objects are paired, the cost of every other pair is known, and the best rest is an
+    assignment; so the minimum over the pairings of objects is the edit distance with moves."""
+
+    def __init__(self, old: list[dict], new: list[dict], apart: frozenset[tuple[str, str]]) -> None:
+        x, y = {p["path"]: p for p in old}, {p["path"]: p for p in new}
+        self.kept = sorted(x.keys() & y.keys())
+        self.old, self.new = x, y
+        self.gone, self.came = [x[k] for k in sorted(x.keys() - y.keys())], [y[k] for k in sorted(y.keys() - x.keys())]
+        inner = {k[:-1] for k in (*x, *y)}
+        self.objects = [p for p in self.gone if p["path"] in inner], [p for p in self.came if p["path"] in inner]
+        self.apart = apart
+        self._same = {(g["path"], f["path"]): self._alike(g, f) for g in self.gone for f in self.came}
+
+    def _alike(self, g: dict, f: dict) -> float:
+        """The cost of calling one the other, wherever they stand."""
+        both = ADD + DELETE
+        if g["name"] == f["name"]:
+            return 0.1 * value_distance(g, f) if g["types"] == f["types"] else both
+        return both if (g["name"], f["name"]) in self.apart else min(both, rename_cost(g, f) * both / RENAME_MOST)
+
+    def cost(self, g: dict, f: dict, objects: dict[tuple, tuple]) -> float:
+        a, b = g["path"][:-1], f["path"][:-1]
+        at_home = objects.get(a) == b or (a == b and a not in objects and b not in objects.values())
+        return self._same[g["path"], f["path"]] + (0.0 if at_home else MOVE)
+
+    def best(self, objects: dict[tuple, tuple]) -> tuple[float, dict[tuple, tuple]]:
+        """(cost, mapping) of the cheapest mapping that pairs just these objects."""
+        total = sum(self.cost(self.old[a], self.new[b], objects) for a, b in objects.items())
+        taken = set(objects.values())
+        g, f = [p for p in self.gone if p["path"] not in objects], [p for p in self.came if p["path"] not in taken]
+        inner = {p["path"] for p in self.objects[0]}, {p["path"] for p in self.objects[1]}
+        both = ADD + DELETE
+        costs = [[both if p["path"] in inner[0] and q["path"] in inner[1] else min(both, self.cost(p, q, objects)) for q in f] for p in g]
+        pairs = assign(costs, both)
+        total += sum(costs[i][j] for i, j in pairs) + DELETE * (len(g) - len(pairs)) + ADD * (len(f) - len(pairs))
+        return total, objects | {g[i]["path"]: f[j]["path"] for i, j in pairs}
+
+    def solve(self) -> tuple[float, dict[tuple, tuple]]:
+        a, b = self.objects
+        rank = lambda found: (round(found[0], 9), sorted(found[1].items()))
+        if _count_pairings(len(a), len(b)) <= MOST_PAIRINGS:
+            return min(map(self.best, _pairings(a, b)), key=rank)
+        # so many new and lost objects at once: from no pair on, the best single change of the pairing as long as one helps
+        now: dict[tuple, tuple] = {}
+        found = self.best(now)
+        while True:
+            tries = [{k: v for k, v in now.items() if k != x} for x in now]
+            tries += [{k: v for k, v in now.items() if v != q["path"]} | {p["path"]: q["path"]} for p in a for q in b if now.get(p["path"]) != q["path"]]
+            better = min(((self.best(t), t) for t in tries), key=lambda u: rank(u[0]), default=None)
+            if better is None or better[0][0] >= found[0] - 1e-9:
+                return found
+            found, now = better
+
+
 def edit_script(old: list[dict], new: list[dict], apart: frozenset[tuple[str, str]] = frozenset()) -> list[dict]:
-    """The minimum-cost script between two schema trees given as profiles with ``path`` (a tuple).
-
-    Equal paths are kept (free, or retyped); below every kept or renamed object the rest is matched
-    by assignment; a member that is left over on both sides under different parents is a move.
-    """
-    script: list[dict] = []
-    by_parent: dict[tuple, list[dict]] = {}
-    for p in new:
-        by_parent.setdefault(p["path"][:-1], []).append(p)
-    olds: dict[tuple, list[dict]] = {}
-    for p in old:
-        olds.setdefault(p["path"][:-1], []).append(p)
-    lost: list[dict] = []
-    came: list[dict] = []
-
-    def level(a: tuple, b: tuple) -> None:
-        x = {p["name"]: p for p in olds.get(a, [])}
-        y = {p["name"]: p for p in by_parent.get(b, [])}
-        for name in sorted(x.keys() & y.keys()):
-            if x[name]["types"] and y[name]["types"] and x[name]["types"] != y[name]["types"]:
-                script.append({"kind": "retyped", "path": y[name]["path"], "old": x[name]["path"]})
-            level(x[name]["path"], y[name]["path"])
-        gone, fresh = [x[k] for k in sorted(x.keys() - y.keys())], [y[k] for k in sorted(y.keys() - x.keys())]
-        costs = [[ADD + DELETE if (g["name"], f["name"]) in apart else min(ADD + DELETE, rename_cost(g, f) * (ADD + DELETE) / RENAME_MOST) for f in fresh] for g in gone]
-        pairs = assign(costs, ADD + DELETE)
-        for i, j in pairs:
-            script.append({"kind": "renamed", "path": fresh[j]["path"], "old": gone[i]["path"]})
-            level(gone[i]["path"], fresh[j]["path"])
-        lost.extend(g for i, g in enumerate(gone) if i not in {p[0] for p in pairs})
-        came.extend(f for j, f in enumerate(fresh) if j not in {p[1] for p in pairs})
-
-    level((), ())
-    for g in list(lost):
-        for f in came:
-            if f["name"] == g["name"] and f["path"][:-1] != g["path"][:-1] and f["types"] == g["types"] and value_distance(g, f) * MOVE < 1.0:
-                script.append({"kind": "moved", "path": f["path"], "old": g["path"]})
-                lost.remove(g)
-                came.remove(f)
-                break
-    script += [{"kind": "removed", "path": g["path"], "old": g["path"]} for g in lost] + [{"kind": "added", "path": f["path"], "old": ()} for f in came]
-    return script
+    """The minimum-cost script between two schema trees given as profiles with ``path`` (a tuple; entries of arrays are members named [])."""
+    trees = _Trees(old, new, apart)
+    mapping = trees.solve()[1]
+    script = [{"kind": "retyped", "path": k, "old": k} for k in trees.kept if trees.old[k]["types"] and trees.new[k]["types"] and trees.old[k]["types"] != trees.new[k]["types"]]
+    for a, b in sorted(mapping.items()):
+        home = mapping.get(a[:-1], a[:-1]) == b[:-1]
+        if a[-1] != b[-1] or not home:
+            script.append({"kind": "renamed" if home else "moved", "path": b, "old": a})
+    script += [{"kind": "removed", "path": g["path"], "old": g["path"]} for g in trees.gone if g["path"] not in mapping]
+    taken = set(mapping.values())
+    return script + [{"kind": "added", "path": f["path"], "old": ()} for f in trees.came if f["path"] not in taken]
 
 
 # ---------------------------------------------------------------------------------------- profiles
@@ -235,7 +289,9 @@ class _Stats:
             self.nums += 1
             self.fracs += not x.is_integer()
             self.lo, self.hi = min(self.lo, x), max(self.hi, x)
-        self.values.add(v if isinstance(v, str) else json.dumps(v, sort_keys=True, ensure_ascii=False))
+        self.values.add(_hash(v if isinstance(v, str) else json.dumps(v, sort_keys=True, ensure_ascii=False)))
+        if len(self.values) > 16 * SKETCH:
+            self.values = set(heapq.nsmallest(SKETCH, self.values))
 
 
 def _object(payload: str | None) -> dict | None:
@@ -246,44 +302,61 @@ def _object(payload: str | None) -> dict | None:
     return v if isinstance(v, dict) else None
 
 
-def _partials(depth: int):
+def _hash(text: str) -> int:
     from xxhash import xxh64_intdigest
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            stats: dict[tuple, _Stats] = {}
-            for feed, seq, payload in zip(*(c.to_pylist() for c in batch.columns)):
-                v = _object(payload)
-                if v is None:
-                    continue
-                stack = [((feed, seq), (), v)]
-                while stack:
-                    file, path, obj = stack.pop()
-                    for k, x in obj.items():
-                        key = (*file, *path, k)
-                        s = stats.get(key)
-                        if s is None:
-                            s = stats[key] = _Stats()
-                        s.add(x)
-                        if isinstance(x, dict) and len(path) + 1 < depth:
-                            stack.append((file, (*path, k), x))
-            rows = [
-                (k[0], k[1], list(k[2:]), s.types, s.n, s.seen, s.nums, s.fracs, s.lo if s.nums else None, s.hi if s.nums else None, sorted(xxh64_intdigest(x) - 2**63 for x in s.values)[:SKETCH])
-                for k, s in stats.items()
-            ]
-            cols = list(zip(*rows)) or [[]] * 11
-            kinds = [pa.string(), pa.int32(), pa.list_(pa.string()), pa.int32(), *[pa.int64()] * 4, *[pa.float64()] * 2, pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["feed", "file_seq", "path", "types", "n", "seen", "nums", "fracs", "lo", "hi", "sketch"])
-
-    return run
-
-
-def profiles(exports: DataFrame, depth: int = 4) -> DataFrame:
+    return xxh64_intdigest(text) - 2**63
+
+
+#: Members of files that a task holds profiles of before it passes them on.
+MOST_HELD = 20_000
+
+
+def _partials(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Profiles of the members at every depth, one per file and member of a partition (more often only beyond MOST_HELD)."""
+    stats: dict[tuple, _Stats] = {}
+
+    def rows() -> pa.RecordBatch:
+        made = [
+            (k[0], k[1], list(k[2:]), s.types, s.n, s.seen, s.nums, s.fracs, s.lo if s.nums else None, s.hi if s.nums else None, heapq.nsmallest(SKETCH, s.values)) for k, s in stats.items()
+        ]
+        cols = list(zip(*made)) or [[]] * 11
+        kinds = [pa.string(), pa.int32(), pa.list_(pa.string()), pa.int32(), *[pa.int64()] * 4, *[pa.float64()] * 2, pa.list_(pa.int64())]
+        stats.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["feed", "file_seq", "path", "types", "n", "seen", "nums", "fracs", "lo", "hi", "sketch"])
+
+    for batch in batches:
+        for feed, seq, payload in zip(*(c.to_pylist() for c in batch.columns)):
+            v = _object(payload)
+            stack = [] if v is None else [((feed, seq), v)]
+            while stack:
+                at, obj = stack.pop()
+                for k, x in obj.items():
+                    key = (*at, k)
+                    s = stats.get(key)
+                    if s is None:
+                        s = stats[key] = _Stats()
+                    s.add(x)
+                    if isinstance(x, dict):
+                        stack.append((key, x))
+                    elif isinstance(x, list):  # entries that are objects share one schema
+                        inner = [e for e in x if isinstance(e, dict)]
+                        if inner:
+                            own = stats.setdefault((*key, "[]"), _Stats())
+                            for e in inner:
+                                own.add(e)
+                                stack.append(((*key, "[]"), e))
+        if len(stats) > MOST_HELD:
+            yield rows()
+    yield rows()
+
+
+def profiles(exports: DataFrame) -> DataFrame:
     """One row per (feed, file_seq, path): the schema tree of every file with value profiles.
 
-    Rows are profiled where they are read; only one partial row per file, member and Arrow batch is
+    Rows are profiled where they are read; one partial row per file, member and partition is
     shuffled, and sketches are cut to SKETCH hashes again when they are merged."""
-    part = exports.select(F.col("feed").cast("string"), F.col("file_seq").cast("int"), F.col("payload").cast("string")).mapInArrow(_partials(depth), _PROFILE)
+    part = exports.select(F.col("feed").cast("string"), F.col("file_seq").cast("int"), F.col("payload").cast("string")).mapInArrow(_partials, _PROFILE)
     return part.groupBy("feed", "file_seq", "path").agg(
         F.bit_or("types").alias("types"), F.sum("n").alias("n"), F.sum("seen").alias("seen"), F.sum("nums").alias("nums"), F.sum("fracs").alias("fracs"),
         F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("sketch")))), 1, SKETCH).alias("sketch"),
@@ -306,15 +379,15 @@ def _member(row) -> dict:
     }
 
 
-def _transitions(profile: DataFrame) -> DataFrame:
-    """(feed, file_seq, before, members) of every file that follows a file of the same feed."""
+def _transitions(profile: DataFrame, gaps: bool = False) -> DataFrame:
+    """(feed, file_seq, before, members) of every file that follows a file of the same feed, with ``gaps`` also over missing numbers."""
     files = _files(profile)
     order = Window.partitionBy("feed").orderBy("file_seq")
-    return files.withColumn("before", F.lag("members").over(order)).withColumn("last", F.lag("file_seq").over(order)).filter(F.col("last") == F.col("file_seq") - 1).drop("last")
+    return files.withColumn("before", F.lag("members").over(order)).withColumn("last", F.lag("file_seq").over(order)).filter(F.col("last").isNotNull() if gaps else F.col("last") == F.col("file_seq") - 1).drop("last")
 
 
 def _apart(profile: DataFrame, moves: DataFrame) -> DataFrame:
-    """(feed, file_seq, apart): of the pairs (lost member, new member) of a transition those that stand side by side in any file."""
+    """(feed, file_seq, apart): of the pairs (lost member, new member) of a transition those that stand side by side in files, not only in an odd one."""
     top = profile.filter(F.size("path") == 1).select("feed", "file_seq", F.col("path")[0].alias("name"))
     names = lambda c: F.transform(F.filter(c, lambda m: F.size(m["path"]) == 1), lambda m: m["path"][0])
     pairs = (
@@ -324,15 +397,19 @@ def _apart(profile: DataFrame, moves: DataFrame) -> DataFrame:
     )
     wanted = pairs.select("g", "f").distinct()
     sets = top.groupBy("feed", "file_seq").agg(F.collect_set("name").alias("names"))
-    shapes = sets.select(F.array_sort("names").alias("names")).distinct()  # files of one shape count once
-    beside = shapes.select(F.explode("names").alias("g"), "names").select("g", F.explode("names").alias("f")).distinct().join(wanted, ["g", "f"], "left_semi")
-    return pairs.join(beside, ["g", "f"], "left_semi").groupBy("feed", "file_seq").agg(F.collect_list(F.struct("g", "f")).alias("apart"))
+    shapes = sets.groupBy(F.array_sort("names").alias("names")).agg(F.count("*").alias("files"))  # files of one shape count together
+    alone = shapes.select(F.explode("names").alias("name"), "files").groupBy("name").agg(F.sum("files").alias("files"))
+    beside = shapes.select(F.explode("names").alias("g"), "names", "files").select("g", F.explode("names").alias("f"), "files").join(wanted, ["g", "f"], "left_semi").groupBy("g", "f").agg(F.sum("files").alias("both"))
+    rarer = beside.join(alone.select(F.col("name").alias("g"), F.col("files").alias("n_g")), "g").join(alone.select(F.col("name").alias("f"), F.col("files").alias("n_f")), "f")
+    sure = rarer.filter(F.col("both") >= BESIDE * F.least("n_g", "n_f")).select("g", "f")
+    return pairs.join(sure, ["g", "f"], "left_semi").groupBy("feed", "file_seq").agg(F.collect_list(F.struct("g", "f")).alias("apart"))
 
 
-def edit_scripts(exports: DataFrame) -> DataFrame:
-    """The edit script of every file against the file before it: (feed, file_seq, change_kind, field_path, old_path)."""
+def edit_scripts(exports: DataFrame, gaps: bool = False) -> DataFrame:
+    """The edit script of every file against the file before it: (feed, file_seq, change_kind, field_path, old_path).
+    With ``gaps`` the file before is the last one there is, else the one numbered one less."""
     profile = cut_lineage(profiles(exports))  # a row per file and member; read several times below
-    moves = _transitions(profile)
+    moves = _transitions(profile, gaps)
     changed = moves.filter(
         F.transform("before", lambda m: F.struct(m["path"], m["types"])) != F.transform("members", lambda m: F.struct(m["path"], m["types"]))
     )
@@ -358,21 +435,52 @@ def top_level_changes(exports: DataFrame) -> DataFrame:
     )
 
 
+def _placed(v: dict, to: dict[tuple, tuple]) -> dict[tuple, object]:
+    """The members of a record at every depth under their first paths."""
+    out: dict[tuple, object] = {}
+    stack = [((), (), v)]
+    while stack:
+        path, first, obj = stack.pop()
+        for k, x in obj.items():
+            own, place = (*path, k), to.get((*path, k), (*first, k))
+            out[place] = x
+            if isinstance(x, dict):
+                stack.append((own, place, x))
+    return out
+
+
+def _first_paths(plan: list[dict], seq: int) -> dict[tuple, tuple]:
+    """Where the members of file ``seq`` stood at first: the renamings and moves up to it, one after the other."""
+    to: dict[tuple, tuple] = {}
+    for step in sorted(plan, key=lambda s: s["file_seq"]):
+        if step["file_seq"] <= seq:
+            now, was = tuple(step["now"]), tuple(step["was"])
+            first = to.pop(was, None)
+            if first is None:  # inside an object that itself was renamed or moved
+                cut = next((k for k in range(len(was) - 1, 0, -1) if was[:k] in to), 0)
+                first = (*to[was[:cut]], *was[cut:]) if cut else was
+            to[now] = first
+    return to
+
+
 def consistent_table(exports: DataFrame, columns: dict[str, str]) -> DataFrame:
-    """Every row of every file in one table. The renamings of a feed are compiled into one mapping
-    per file from the names in force there to the feed's first names; ``columns`` (name -> type)
-    become columns, other members stay in the map ``extra``; a record counts once.
-
-    A value that doesn't fit its column's type is null in the column and kept in ``extra``."""
-    renames = edit_scripts(exports).filter((F.col("change_kind") == "renamed") & (F.size("field_path") == 1)).select("feed", "file_seq", F.col("field_path")[0].alias("now"), F.col("old_path")[0].alias("was"))
-    # per feed: its renamings in order (schema-sized); replayed on the row's own file number
-    plan = renames.groupBy("feed").agg(F.array_sort(F.collect_list(F.struct("file_seq", "now", "was"))).alias("plan"))
+    """Every row of every file in one table. The renamings and moves of a feed, at every depth, are compiled into one
+    projection per file from the places in force there to the feed's first places; ``columns`` (name -> type; a
+    dot leads into an object) become columns, other top-level members stay in the map ``extra``; a record counts once.
+
+    A value that doesn't fit its column's type is null in the column and kept in ``extra``; a value in a
+    wrapping of one member or entry fills the column, and the wrapping is kept in ``extra``."""
+    scripts = edit_scripts(exports, gaps=True).filter(F.col("change_kind").isin("renamed", "moved") & ~F.array_contains("field_path", "[]"))
+    # per feed: its changes in order (schema-sized); replayed on the row's own file number
+    plan = scripts.groupBy("feed").agg(F.array_sort(F.collect_list(F.struct("file_seq", F.col("field_path").alias("now"), F.col("old_path").alias("was")))).alias("plan"))
     rows = exports.groupBy("export_id").agg(F.max_by(F.struct("feed", "file_seq", "payload"), "written_at").alias("r")).select("export_id", "r.feed", "r.file_seq", "r.payload")
     joined = rows.join(plan, "feed", "left").select("export_id", "feed", "file_seq", "payload", "plan")
-    names = list(columns)
+    names = {n: tuple(n.split(".")) for n in columns}
+    shown = lambda x: None if x is None else x if isinstance(x, str) else json.dumps(x, ensure_ascii=False)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[tuple, dict] = {}
+        paths = set(names.values())
         for batch in batches:
             ids, feeds, seqs, texts, plans = (batch.column(i) for i in range(5))
             cols: dict[str, list] = {n: [] for n in names}
@@ -383,19 +491,18 @@ def consistent_table(exports: DataFrame, columns: dict[str, str]) -> DataFrame:
                     continue
                 to = known.get((feed, seq))
                 if to is None:
-                    to = {}
-                    for step in sorted(plans[i].as_py() or [], key=lambda s: s["file_seq"]):
-                        if step["file_seq"] <= seq:
-                            to[step["now"]] = to.pop(step["was"], step["was"])
-                    known[feed, seq] = to
-                flat = {to.get(k, k): x for k, x in v.items()}
+                    to = known[feed, seq] = _first_paths(plans[i].as_py() or [], seq)
+                flat = _placed(v, to)
                 rest = []
-                for n in names:
-                    x = _plain(flat.get(n))
-                    cols[n].append(None if x is None else x if isinstance(x, str) else json.dumps(x, ensure_ascii=False))
-                for k, x in flat.items():
-                    if k not in cols:
-                        rest.append((k, None if x is None else x if isinstance(x, str) else json.dumps(x, ensure_ascii=False)))
+                for n, path in names.items():
+                    x = flat.get(path)
+                    cols[n].append(shown(_plain(x)))
+                    if isinstance(x, (dict, list)) and len(x) == 1:
+                        rest.append((n, shown(x)))
+                for k, x in v.items():
+                    place = to.get((k,), (k,))
+                    if place not in paths:
+                        rest.append((".".join(place), shown(x)))
                 extra.append(rest)
                 kept.append(i)
             take = pa.array(kept, pa.int64())
@@ -405,7 +512,10 @@ def consistent_table(exports: DataFrame, columns: dict[str, str]) -> DataFrame:
             )
 
     out = joined.mapInArrow(run, "export_id bigint, feed string, file_seq int" + "".join(f", `{n}` string" for n in names) + ", extra map<string,string>")
+    col = lambda n: F.col(f"`{n}`")
     unfit = F.map_from_entries(
-        F.array_compact(F.array(*(F.when(F.col(n).isNotNull() & F.col(n).try_cast(t).isNull(), F.struct(F.lit(n).alias("key"), F.col(n).alias("value"))) for n, t in columns.items())))
+        F.array_compact(
+            F.array(*(F.when(col(n).isNotNull() & col(n).try_cast(t).isNull() & ~F.map_contains_key("extra", n), F.struct(F.lit(n).alias("key"), col(n).alias("value"))) for n, t in columns.items()))
+        )
     )
-    return out.select("export_id", "feed", "file_seq", *(F.col(n).try_cast(t).alias(n) for n, t in columns.items()), F.map_concat("extra", unfit).alias("extra"))
+    return out.select("export_id", "feed", "file_seq", *(col(n).try_cast(t).alias(n) for n, t in columns.items()), F.map_concat("extra", unfit).alias("extra"))

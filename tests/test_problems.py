@@ -253,6 +253,64 @@ def test_nested_moves(spark):
     assert [(s["kind"], s["path"], s["old"]) for s in drift.edit_script(old, new)] == [("moved", ("start",), ("w", "start"))]
 
 
+def brute_distance(old, new):
+    """The least cost over all one-to-one mappings of the members that don't stand in both trees."""
+    trees = drift._Trees(old, new, frozenset())
+    inner = [{k[:-1] for k in (*trees.old, *trees.new)}] * 2
+
+    def go(i, used, pairs):
+        if i == len(trees.gone):
+            objects = {a: b for a, b in pairs if a in inner[0] and b in inner[1]}
+            cost = sum(min(2.0, trees.cost(trees.old[a], trees.new[b], objects)) if (a, b) not in objects.items() else trees.cost(trees.old[a], trees.new[b], objects) for a, b in pairs)
+            return cost + drift.DELETE * (len(trees.gone) - len(pairs)) + drift.ADD * (len(trees.came) - len(pairs))
+        best = go(i + 1, used, pairs)
+        for f in trees.came:
+            if f["path"] not in used:
+                best = min(best, go(i + 1, used | {f["path"]}, [*pairs, (trees.gone[i]["path"], f["path"])]))
+        return best
+
+    return go(0, frozenset(), [])
+
+
+def random_tree(rng):
+    paths, names = set(), ["aa", "bb_aa", "cc", "dd", "ee_cc"]
+    for _ in range(rng.randint(1, 4)):
+        parent = rng.choice([(), *[q for q in paths if len(q) < 3]])
+        paths.add((*parent, rng.choice(names)))
+    inner = {q[:-1] for q in paths}
+    profile = lambda q: {"path": q, "name": q[-1], "types": 32 if q in inner else rng.choice([1, 2]), "n": 5, "num": 0.0, "frac": 0.0, "lo": 0.0, "hi": 0.0, "sketch": rng.sample(range(6), 3), "distinct": 3}
+    return [profile(q) for q in sorted(paths)]
+
+
+@pytest.mark.parametrize("most", [drift.MOST_PAIRINGS, 0])
+def test_edit_distance_is_minimal(monkeypatch, most):
+    monkeypatch.setattr(drift, "MOST_PAIRINGS", most)
+    rng, worse = random.Random(11), 0
+    for _ in range(150):
+        old, new = random_tree(rng), random_tree(rng)
+        got, want = drift._Trees(old, new, frozenset()).solve()[0], brute_distance(old, new)
+        assert got >= want - 1e-9
+        worse += got > want + 1e-9
+    assert worse == 0 if most else worse <= 8
+
+
+def test_arrays_and_objects_are_descended(spark):
+    old = [{"box": {"start": i, "word": f"w{i}"}, "rows": [{"note": f"n{i}"}]} for i in range(9)]
+    new = [{"frame": {"start": i, "word": f"w{i}"}, "rows": [{"notes": f"n{i}"}]} for i in range(9)]
+    moved = [{"start": i, "frame": {"word": f"w{i}"}, "rows": [{"notes": f"n{i}"}]} for i in range(9)]
+    df = exports(spark, {("f", 0): old, ("f", 1): new, ("f", 3): moved})
+    got = {(r.file_seq, r.change_kind, tuple(r.field_path), tuple(r.old_path)) for r in drift.edit_scripts(df, gaps=True).collect()}
+    assert got == {(1, "renamed", ("frame",), ("box",)), (1, "renamed", ("rows", "[]", "notes"), ("rows", "[]", "note")), (3, "moved", ("start",), ("frame", "start"))}
+    table = drift.consistent_table(df, {"box.start": "bigint", "box.word": "string"}).orderBy("export_id").collect()
+    assert [(r["box.start"], r["box.word"]) for r in table] == [(i, f"w{i}") for i in range(9)] * 3
+
+
+def test_wrappings_are_kept(spark):
+    df = exports(spark, {("f", 0): [{"a": 5}, {"a": {"v": 6}}, {"a": [7]}, {"a": [1, 2]}]})
+    got = [(r.a, dict(r.extra)) for r in drift.consistent_table(df, {"a": "bigint"}).orderBy("export_id").collect()]
+    assert got == [(5, {}), (6, {"a": '{"v": 6}'}), (7, {"a": "[7]"}), (None, {"a": "[1, 2]"})]
+
+
 def test_one_consistent_table(spark):
     old = [{"song_dir": "d", "start_ms": i * 10, "status": "ctc"} for i in range(5)]
     new = [{"song_dir": "d", "startMs": str(i * 10), "status": "ctc", "extra_one": 1} for i in range(5)]
