@@ -513,7 +513,15 @@ def artifact_json(spark, sf):
 # ------------------------------------------------------------------- folds (compared with brute force in tests)
 
 
-@query()
+@query(
+    """WITH x AS (SELECT vec_id, label, list_transform(range(8), lambda t: list_transform(range(8), lambda i: embedding[t * 8 + i + 1]::DOUBLE)) AS f FROM embeddings),
+p AS (SELECT vec_id, [label % 7 + 1, (label + 2) % 7 + 1, label % 7 + 1] AS g, list_transform(f, lambda r: list_transform(r, lambda v: v - ln(list_sum(list_transform(r, lambda u: exp(u)))))) AS lp FROM x),
+s AS (SELECT vec_id, list_sum(list_transform(lp, lambda r: r[1])) AS blank, list_transform(range(9), lambda t: list_sum(list_transform(lp[1:t], lambda r: r[g[1] + 1] - r[1]))) AS a,
+  list_transform(range(9), lambda t: list_sum(list_transform(lp[1:t], lambda r: r[g[2] + 1] - r[1]))) AS b FROM p),
+q AS (SELECT i.v AS f1, j.v AS l1, k.v AS f2, l.v AS l2, m.v AS f3, n.v AS l3 FROM range(9) i(v) JOIN range(9) j(v) ON i.v < j.v JOIN range(9) k(v) ON j.v <= k.v JOIN range(9) l(v) ON k.v < l.v JOIN range(9) m(v) ON l.v <= m.v JOIN range(9) n(v) ON m.v < n.v),
+z AS (SELECT vec_id, f1, l1, f2, l2, f3, l3, blank + coalesce(a[l1 + 1], 0) - coalesce(a[f1 + 1], 0) + coalesce(b[l2 + 1], 0) - coalesce(b[f2 + 1], 0) + coalesce(a[l3 + 1], 0) - coalesce(a[f3 + 1], 0) AS total FROM s, q)
+SELECT vec_id, round(max(total) / 8, 6) AS score, arg_max(concat(f1, '-', l1, ',', f2, '-', l2, ',', f3, '-', l3), total) AS spans, NULL::VARCHAR AS error FROM z GROUP BY 1"""
+)
 def forced_alignment(spark, sf):
     """The best path of three labels through 8 frames of 8 labels, taken from every embedding."""
     e = table(spark, sf, "embeddings")
@@ -540,7 +548,16 @@ def span_repair(spark, sf):
     return fixed.select("line_key", F.posexplode("spans").alias("pos", "s")).select("line_key", "pos", F.col("s.start_ms").alias("start_ms"), F.col("s.end_ms").alias("end_ms"))
 
 
-@query()
+@query(
+    f"""WITH {LINES}, t AS (SELECT line_key, reading, coalesce(start_ms, 0) AS lo, greatest(end_ms, coalesce(start_ms, 0)) AS hi FROM l), m AS (SELECT line_key, lo, hi, {mora_sql('reading')} AS v FROM t WHERE hi > lo),
+u AS (SELECT line_key, lo, hi, len(v) AS n, unnest(range(len(v))) AS i FROM m),
+h AS (SELECT *, CASE WHEN i % 2 = 1 THEN 0 ELSE round_even((hi - lo) * (i + 1) / n, 0) - round_even((hi - lo) * i / n, 0) END::BIGINT AS held FROM u WHERE hi - lo >= n),
+a AS (SELECT line_key, list_sort(list(held) FILTER (held > 0)) AS alive FROM h GROUP BY 1),
+w AS (SELECT h.*, CASE WHEN held > 0 THEN held ELSE alive[len(alive) // 2 + 1] END AS w FROM h JOIN a USING (line_key) WHERE len(alive) > 0),
+p AS (SELECT *, greatest(1, round_even((hi - lo) * w / sum(w) OVER (PARTITION BY line_key), 0))::BIGINT AS part FROM w),
+c AS (SELECT *, CASE WHEN i = n - 1 THEN hi ELSE least(hi - (n - 1 - i), lo + sum(part) OVER (PARTITION BY line_key ORDER BY i)) END::BIGINT AS stop FROM p)
+SELECT line_key, i::INT AS pos, coalesce(lag(stop) OVER (PARTITION BY line_key ORDER BY i), lo)::BIGINT AS start_ms, stop AS end_ms FROM c"""
+)
 def span_redistribution(spark, sf):
     lines = _units_of_lines(spark, sf)
     mora = intervals.split(T.split_mora(F.col("reading")), F.col("start_ms"), F.col("end_ms"))
@@ -564,7 +581,21 @@ def display_checks(spark, sf):
     return timed.select("line_key", *[c.alias(n) for n, c in checks.items()])
 
 
-@query()
+@query(
+    f"""WITH {LINES}, t AS (SELECT line_key, text, reading, length(text) AS n, length(reading) AS m, regexp_extract(text, '[ぁ-ゖァ-ヺー]+') AS kana FROM l WHERE text <> '' AND reading <> ''),
+a AS (SELECT *, instr(text, kana) - 1 AS lead, instr(reading, {hira_sql('kana')}) - 1 AS anchor, list_filter(range(n), lambda i: NOT regexp_full_match(substring(text, i::BIGINT + 1, 1), '{WS}|[\\x1c-\\x1f]')) AS seen FROM t),
+c AS (SELECT *, CASE WHEN n = m THEN list_transform(range(n), lambda i: [i, i + 1, i, i + 1]) WHEN kana <> '' AND lead > 0 AND anchor > 0 THEN list_concat([[0, lead, 0, anchor]], list_transform(range(lead, n), lambda i: [i, i + 1, anchor - lead + i, least(m, anchor - lead + i + 1)]))
+  ELSE list_transform(range(len(seen)), lambda k: [seen[k + 1], seen[k + 1] + 1, round_even(m * k / len(seen), 0)::BIGINT, round_even(m * (k + 1) / len(seen), 0)::BIGINT]) END AS cells,
+  CASE WHEN n = m THEN 'same' WHEN kana <> '' AND lead > 0 AND anchor > 0 THEN 'anchor' ELSE 'share' END AS how FROM a),
+e AS (SELECT line_key, text, reading, how, unnest(range(len(cells))) AS pos, unnest(cells) AS x FROM c),
+s AS (SELECT line_key, pos, how, substring(text, x[1]::BIGINT + 1, (x[2] - x[1])::BIGINT) AS surface, CASE WHEN x[4] > x[3] THEN substring(reading, x[3]::BIGINT + 1, (x[4] - x[3])::BIGINT) ELSE '' END AS part FROM e),
+h AS (SELECT *, regexp_replace({hira_sql('part')}, '(っ+)((?:\\P{{L}}|ー)+)(\\p{{L}})', '\\2\\1\\3', 'g') AS r FROM s),
+p AS (SELECT *, list_transform(regexp_extract_all(r, '(?s)っ*(?:{'|'.join(T.HEPBURN_TWO)}|[^っ])|っ+$'), lambda y: [replace(y, 'っ', ''), y]) AS parts FROM h),
+v AS (SELECT *, list_transform(parts, lambda y: [coalesce({SPELLED_SQL}[y[1]], y[1]), y[2]]) AS said FROM p)
+SELECT line_key, pos::INT AS pos, surface, part AS reading, CASE WHEN regexp_full_match(surface, '(?:{WS})*(?:[぀-ヿ㐀-鿿](?:{WS})*)+') THEN
+    array_to_string(list_filter(list_transform(said, lambda y: CASE WHEN starts_with(y[2], 'っ') AND regexp_matches(y[1], '^\\p{{L}}') THEN y[1][1] || y[1] ELSE y[1] END), lambda z: z <> ''), ' ') ELSE '' END AS romaji,
+  CASE WHEN how = 'anchor' AND pos = 0 THEN 'low' WHEN how <> 'share' THEN 'medium' WHEN regexp_matches(surface, '^[぀-ヿ]') THEN 'medium' ELSE 'low' END AS mapping_confidence FROM v"""
+)
 def surface_mapping(spark, sf):
     """Surface spans of every line from its text and reading alone."""
     spans = reading.with_spans(_lines(spark, sf, "text", "reading"))
@@ -578,7 +609,14 @@ def alignment_targets(spark, sf):
     return reading.with_target(lines).select("line_key", "target", F.round("coverage", 6).alias("coverage"), F.size("records").alias("labels"))
 
 
-@query()
+@query(
+    f"""WITH {_SERIES}, r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY score DESC, "offset") AS rank, greatest(lag(score) OVER q, lead(score) OVER q) AS nb FROM score WINDOW q AS (PARTITION BY k ORDER BY "offset")),
+z AS (SELECT k, max(score) FILTER ("offset" = 0) AS zero FROM score GROUP BY 1), d AS (SELECT r.*, score - zero >= 0.08 AND score - coalesce(nb, 0) >= 0.01 AND "offset" NOT IN (-6, 6) AS ok FROM r JOIN z USING (k) WHERE rank = 1),
+e AS (SELECT k, CASE WHEN ok THEN "offset" ELSE 0 END AS o FROM d), line AS (SELECT k, event_id, "offset", ln(1 + greatest(0.0, least(20.0, c))) AS v FROM c),
+v AS (SELECT e.k, e.o, count(*) AS n, count(*) FILTER (a.v - b.v >= 0.15) AS wins FROM e JOIN line a ON a.k = e.k AND a."offset" = e.o JOIN line b ON b.k = e.k AND b.event_id = a.event_id AND b."offset" = 0 WHERE e.o <> 0 GROUP BY ALL)
+SELECT e.k, CASE WHEN n >= 2 AND wins >= ceil(n * 2 / 3) THEN e.o ELSE 0 END::INT AS offset_ms, CASE WHEN e.o = 0 THEN 'uncertain' WHEN n >= 2 AND wins >= ceil(n * 2 / 3) THEN 'candidate' ELSE 'uncertain' END AS status,
+  CASE WHEN e.o = 0 THEN 'not_needed' WHEN n >= 2 AND wins >= ceil(n * 2 / 3) THEN 'accepted' WHEN n IS NULL THEN 'insufficient_evidence' ELSE 'rejected' END AS verification FROM e LEFT JOIN v USING (k)"""
+)
 def offset_verification(spark, sf):
     """Proposed shifts of the grid, checked against no shift on the scores of single starts."""
     proposal = offset.estimate(_grid(spark, sf), ["k"], -6, 6).select("k", "offset_ms", "status")
@@ -587,7 +625,10 @@ def offset_verification(spark, sf):
     return offset.verify(keep, proposal, ["k"])
 
 
-@query()
+@query(
+    f"""WITH {CLEAN}, r AS (SELECT *, greatest(start_ms, end_ms) AS stop, {NON_SUNG_SQL} AS quiet, replace({hira_sql('text')}, ' ', '') AS reading FROM c)
+SELECT song_dir, 'line_interpolation' AS timing_source, count(*) AS lines, sum(length(text))::BIGINT AS units, sum(CASE WHEN quiet OR stop <= start_ms THEN 0 ELSE len({mora_sql('reading')}) END)::BIGINT AS mora FROM r GROUP BY 1"""
+)
 def prepared_lines(spark, sf):
     """The flow of ``prepare`` from raw timelines to displayable lines, counted by song directory and timing source."""
     from strophe.config import Config
