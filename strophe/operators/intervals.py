@@ -33,6 +33,16 @@ def split(values: Column, start: Column, end: Column) -> Column:
     return F.get(F.transform(F.array(values), parts), F.lit(0))
 
 
+def lasting(df: DataFrame, start: str = "start_ms", end: str = "end_ms") -> DataFrame:
+    """Rows whose interval has a positive duration."""
+    return df.filter(F.col(end) > F.col(start))
+
+
+def split_lasting(values: Column, start: Column, end: Column) -> Column:
+    """``split`` for the offline path: an interval without time counts as one millisecond long, and no part ends before it begins."""
+    return split(values, start, F.greatest(end, start + 1))
+
+
 def shift(df: DataFrame, offset: Column, start: str = "start_ms", end: str = "end_ms") -> DataFrame:
     """Both times moved by an offset, never under 0 and never inverted; the times before are kept in ``original_*``.
 

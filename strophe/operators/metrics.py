@@ -60,3 +60,9 @@ def unit_checks(units: Column, text: Column) -> dict[str, Column]:
         "display_text_matches": F.array_join(F.transform(units, lambda u: u["text"]), "") == text,
         "display_onset_monotonic": F.forall(pairs, lambda p: p["b"]["start_ms"] >= p["a"]["start_ms"]),
     }
+
+
+def job_rollup(jobs: DataFrame, by: list[str]) -> DataFrame:
+    """(by, jobs, lines, eligible, accepted, acceptance_rate, seconds) of rows per job; the rate is null where nothing was eligible."""
+    n = jobs.groupBy(*by).agg(F.count("*").alias("jobs"), *(F.sum(c).alias(c) for c in ("lines", "eligible", "accepted")), F.round(F.coalesce(F.sum("seconds"), F.lit(0.0)), 3).alias("seconds"))
+    return n.select(*by, "jobs", "lines", "eligible", "accepted", F.round(F.col("accepted") / F.nullif("eligible", F.lit(0)), 6).alias("acceptance_rate"), "seconds")

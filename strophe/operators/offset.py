@@ -98,10 +98,14 @@ def vocal_runs(series: DataFrame, keys: Sequence[str], hop: float, sustain: int
     )
 
 
-def estimate(scores: DataFrame, keys: Sequence[str], low: int, high: int, tolerance: int = 800, found: DataFrame | None = None) -> DataFrame:
-    """(keys, offset_ms, status, selected, score, zero_score, gain, margin): the best shift that all anchors
+def estimate(scores: DataFrame, keys: Sequence[str], low: int, high: int, tolerance: int = 800, found: DataFrame | None = None, unchecked: str = "disabled", songs: DataFrame | None = None) -> DataFrame:
+    """(keys, offset_ms, status, selected, score, zero_score, gain, margin, raw_best, boundary_status): the best shift that all anchors
     allow, taken only if it beats no shift and its neighbours clearly, isn't at an end of the grid
-    and doesn't contradict the best shift without anchors. ``scores`` must hold offset 0."""
+    and doesn't contradict the best shift without anchors. ``scores`` must hold offset 0.
+
+    ``boundary_status`` says what became of the anchors: ``unchecked`` (disabled, no_vocal_stem) without ``found``,
+    else checked, no_reliable_anchors, energy_conflict or conflicting_or_out_of_range_anchors. ``songs`` (keys, lines,
+    frames) adds the songs that have no scores: no_lines, or no_activity."""
     r = ranked(scores, keys)
     if found is not None:
         bad = r.join(found.filter("reason is null").select(*keys, "low", "high"), list(keys)).filter((F.col("offset") < F.col("low")) | (F.col("offset") > F.col("high")))
@@ -118,13 +122,42 @@ def estimate(scores: DataFrame, keys: Sequence[str], low: int, high: int, tolera
     gain, margin = b["score"] - F.col("zero_score"), b["score"] - F.coalesce(b["neighbour"], F.lit(0.0))
     clash = F.coalesce(F.col("tied") & F.col("own").isNotNull() & (F.abs(b["offset"] - F.col("raw.offset")) > tolerance), F.lit(False))
     ok = F.col("own").isNotNull() & (gain >= MIN_GAIN) & (margin >= MIN_MARGIN) & ~b["offset"].isin(low, high) & ~clash
-    return best.select(
+    tied = F.coalesce("tied", F.lit(False))
+    boundary = F.when(tied & F.col("own").isNull(), "conflicting_or_out_of_range_anchors").when(clash, "energy_conflict").when(tied, "checked").otherwise("no_reliable_anchors") if found is not None else F.lit(unchecked)
+    out = best.select(
         *keys,
         F.when(ok, b["offset"]).otherwise(0).alias("offset_ms"),
         F.when(ok, "candidate").otherwise("uncertain").alias("status"),
         F.col("own.offset").alias("selected"),
-        b["score"].alias("score"), "zero_score", gain.alias("gain"), margin.alias("margin"),
+        b["score"].alias("score"), "zero_score", gain.alias("gain"), margin.alias("margin"), F.col("raw.offset").alias("raw_best"), boundary.alias("boundary_status"),
     )
+    if songs is None:
+        return out
+    lacking = F.when(F.coalesce("lines", F.lit(0)) == 0, "no_lines").when(F.coalesce("frames", F.lit(0)) == 0, "no_activity")
+    every = songs.select(*keys, lacking.alias("_lacking")).join(out, list(keys), "left")
+    kept = [c for c in out.columns if c not in (*keys, "offset_ms", "status")]
+    there = F.col("_lacking").isNull()
+    return every.select(
+        *keys, F.when(there, F.col("offset_ms")).otherwise(0).alias("offset_ms"), F.coalesce("_lacking", "status").alias("status"), *(F.when(there, F.col(c)).alias(c) for c in kept)
+    )
+
+
+def compared_offsets(scores: DataFrame, proposal: DataFrame, keys: Sequence[str], apart: int = 240) -> DataFrame:
+    """(keys, offset): the shifts that a proposal (keys, offset_ms) is verified on: itself, none, and the best ranked
+    candidate at least ``apart`` from both. A proposal of no shift needs no verification and has no rows."""
+    own = proposal.filter("offset_ms != 0").select(*keys, "offset_ms")
+    third = ranked(scores, keys).join(own, list(keys)).filter((F.abs(F.col("offset") - F.col("offset_ms")) >= apart) & (F.abs("offset") >= apart)).groupBy(*keys).agg(F.min_by("offset", "rank").alias("offset"))
+    return own.select(*keys, F.explode(F.array(F.col("offset_ms"), F.lit(0).cast(own.schema["offset_ms"].dataType))).alias("offset")).unionByName(third).distinct()
+
+
+def report(scores: DataFrame, starts: DataFrame, keys: Sequence[str], shown: int = 10) -> DataFrame:
+    """The ungated report of a search: (keys, offset_ms, candidates, line_starts), the candidates by falling score to
+    eight digits, and how many starts the shift moves. ``scores`` hold a grid, so a song's candidates are bounded."""
+    best = ranked(scores, keys).filter(F.col("rank") <= shown).groupBy(*keys).agg(
+        F.min_by("offset", "rank").alias("offset_ms"), F.transform(F.array_sort(F.collect_list(F.struct("rank", "offset", "score"))), lambda c: F.struct(c["offset"].alias("offset_ms"), F.round(c["score"], 8).alias("score"))).alias("candidates")
+    )
+    n = starts.groupBy(*keys).agg(F.count("*").alias("line_starts"))
+    return best.join(n, list(keys), "left")
 
 
 def representatives(lines: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -130,3 +130,39 @@ def voice_bounds(lines: DataFrame, series: DataFrame, keys: Sequence[str], line:
         F.round(clamp((F.col("_p") - F.col("_t")) / F.greatest(F.col("_p"), F.lit(1e-6)), F.lit(0.0), F.lit(1.0)), 3).alias("activity_confidence"),
     )
     return lines.drop("singing_start_ms", "singing_end_ms", "activity_confidence").join(found, [*keys, line], "left")
+
+
+def baseline_bounds(lines: DataFrame, series: DataFrame, keys: Sequence[str], line: str, first: float, hop: float, margin: float = 40) -> DataFrame:
+    """Lines with the simple activity bounds of a series (keys, frame_idx, rms) on a regular grid: ``active_start_ms``, ``active_end_ms``,
+    ``activity_ratio`` (share of the line's frames that are active) and ``method`` (energy_window, or anchor_fallback with the line's own times).
+
+    A frame is active above 1.8 of the track's lower quartile, 0.45 of its median and a floor; under a share of 0.12 no bound is trusted."""
+    stats = percentiles(series, keys, "rms", [0.25, 0.5]).select(*keys, F.greatest(F.col("p")[0] * 1.8, F.col("p")[1] * 0.45, F.lit(LEAST)).alias("_t"))
+    span = lines.filter("end_ms > start_ms").select(*keys, line, F.ceil((F.col("start_ms") - first) / hop).alias("_l"), F.floor((F.col("end_ms") - first) / hop).alias("_r")).filter("_l <= _r")
+    spread = span.withColumn("frame_idx", F.explode(F.sequence("_l", "_r")))  # the join is an equi join on frame numbers
+    inside = spread.join(series.select(*keys, "frame_idx", "rms"), [*keys, "frame_idx"]).join(stats, list(keys))
+    on = F.col("rms") >= F.col("_t")
+    got = inside.groupBy(*keys, line).agg(F.avg(on.cast("double")).alias("_ratio"), F.min(F.when(on, F.col("frame_idx"))).alias("_f"), F.max(F.when(on, F.col("frame_idx"))).alias("_g"))
+    out = lines.join(got, [*keys, line], "left")
+    at = lambda c: (F.lit(first) + F.col(c) * hop).cast("bigint")
+    a = F.greatest(F.col("start_ms"), at("_f") - F.lit(margin).cast("bigint"))
+    b = F.least(F.col("end_ms"), at("_g") + F.lit(margin).cast("bigint"))
+    trusted = F.coalesce((F.col("_ratio") >= 0.12) & (b > a), F.lit(False))
+    return out.select(
+        *lines.columns,
+        F.when(trusted, a).otherwise(F.col("start_ms")).alias("active_start_ms"), F.when(trusted, b).otherwise(F.col("end_ms")).alias("active_end_ms"),
+        F.round(F.coalesce("_ratio", F.lit(0.0)), 4).alias("activity_ratio"), F.when(trusted, "energy_window").otherwise("anchor_fallback").alias("method"),
+    )
+
+
+def compare_bounds(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, start_delta, end_delta, ratio_delta): what the bounds of lines by two tracks differ by, for lines of both."""
+    cols = ["active_start_ms", "active_end_ms", "activity_ratio"]
+    x, y = (d.select(*keys, *(F.col(c).alias(f"{n}{c}") for c in cols)) for d, n in ((a, "a_"), (b, "b_")))
+    names = ("start_delta", "end_delta", "ratio_delta")
+    return x.join(y, list(keys)).select(*keys, *((F.col(f"b_{c}") - F.col(f"a_{c}")).alias(n) for c, n in zip(cols, names)))
+
+
+def mixed_down(tracks: DataFrame, keys: Sequence[str], at: str = "frame_idx", value: str = "value") -> DataFrame:
+    """(keys, at, value): the sum of several tracks at each time."""
+    return tracks.groupBy(*keys, at).agg(F.sum(value).alias(value))

@@ -215,6 +215,13 @@ def containment_join(spark, sf):
     return intervals.contained(points, spans, ["line_key"], "pos", "surface_start", "surface_end", ["span_pos"]).select("line_key", "pos", "span_pos")
 
 
+@query(f"WITH {LINES} SELECT artifact_id, count(*) AS lines, min(start_ms) AS first_ms, max(end_ms) AS last_ms FROM l WHERE end_ms > start_ms GROUP BY 1")
+def lasting_lines(spark, sf):
+    """Lines that last, by artifact: what a search for a shift starts from."""
+    lines = intervals.lasting(_lines(spark, sf, "artifact_id", "start_ms", "end_ms"))
+    return lines.groupBy("artifact_id").agg(F.count("*").alias("lines"), F.min("start_ms").alias("first_ms"), F.max("end_ms").alias("last_ms"))
+
+
 @query(
     f"""WITH {LINES} SELECT a.line_key AS line_a, b.line_key AS line_b FROM l a JOIN l b ON a.artifact_id = b.artifact_id AND a.end_ms > b.original_start_ms AND a.start_ms < b.original_end_ms WHERE a.line_key <> b.line_key"""
 )
@@ -400,6 +407,54 @@ def boundary_anchors(spark, sf):
     return offset.anchors(onsets, timed, ["artifact_id"], -2000, 2000).select("artifact_id", "run", "onset", "line_index", "kind", "reason")
 
 
+@query(f"""WITH {_SERIES}, r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY score DESC, "offset") AS rank FROM score), n AS (SELECT k, count(*) AS line_starts FROM st GROUP BY 1)
+SELECT k, max("offset") FILTER (rank = 1)::INT AS offset_ms, string_agg("offset"::INT::VARCHAR, ',' ORDER BY rank) FILTER (rank <= 10) AS candidates, any_value(line_starts) AS line_starts FROM r LEFT JOIN n USING (k) GROUP BY 1""")
+def offset_report(spark, sf):
+    """The ungated search report of every series."""
+    starts = _grid_parts(spark, sf)[0]
+    r = offset.report(_grid(spark, sf), starts, ["k"])
+    return r.select("k", "offset_ms", F.array_join(F.transform("candidates", lambda c: c["offset_ms"].cast("string")), ",").alias("candidates"), "line_starts")
+
+
+@query(
+    f"""WITH {_SERIES}, r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY score DESC, "offset") AS rank FROM score), best AS (SELECT k, "offset" AS o FROM r WHERE rank = 1 AND "offset" <> 0),
+t AS (SELECT r.k, arg_min("offset", rank) AS v FROM r JOIN best USING (k) WHERE abs("offset" - o) >= 3 AND abs("offset") >= 3 GROUP BY 1)
+SELECT k, o::INT AS shift FROM best UNION SELECT k, 0 FROM best UNION SELECT k, v::INT FROM t"""
+)
+def compared_shifts(spark, sf):
+    """The shifts that the best shift of every series would be verified on."""
+    grid = _grid(spark, sf)
+    best = offset.ranked(grid, ["k"]).filter("rank = 1").select("k", F.col("offset").alias("offset_ms"))
+    return offset.compared_offsets(grid, best, ["k"], 3).select("k", F.col("offset").alias("shift"))
+
+
+@query(
+    f"""WITH {_SERIES}, th AS (SELECT k, greatest(quantile_cont(v, 0.25) * 1.8, quantile_cont(v, 0.5) * 0.45, 1e-4) AS t FROM s GROUP BY 1),
+w0 AS (SELECT event_type AS k, event_id, floor(date_diff('minute', TIMESTAMP '2024-01-01', ts) / 60.0)::BIGINT AS a FROM events WHERE value > 150),
+j0 AS (SELECT w0.k, event_id, a, a + 24 AS b, avg((s.v >= t)::INT) AS ratio, min(s.h) FILTER (s.v >= t) AS f, max(s.h) FILTER (s.v >= t) AS g FROM w0 LEFT JOIN s ON s.k = w0.k AND s.h BETWEEN a AND a + 24 LEFT JOIN th ON th.k = w0.k GROUP BY ALL),
+o0 AS (SELECT *, coalesce(ratio >= 0.12 AND least(b, g + 1) > greatest(a, f - 1), false) AS ok FROM j0)
+SELECT k, event_id, CASE WHEN ok THEN greatest(a, f - 1) ELSE a END AS active_start_ms, CASE WHEN ok THEN least(b, g + 1) ELSE b END AS active_end_ms, round(coalesce(ratio, 0), 4) AS activity_ratio, CASE WHEN ok THEN 'energy_window' ELSE 'anchor_fallback' END AS method FROM o0"""
+)
+def activity_baseline(spark, sf):
+    """Simple activity bounds in an hourly series, a day after every high event."""
+    starts, series, *_ = _grid_parts(spark, sf)
+    lines = starts.select("k", F.col("line").alias("event_id"), F.floor("start_ms").alias("start_ms"), (F.floor("start_ms") + 24).alias("end_ms"))
+    got = signal.baseline_bounds(lines, series.select("k", "frame_idx", F.col("value").alias("rms")), ["k"], "event_id", 0.0, 1.0, 1)
+    return got.select("k", "event_id", "active_start_ms", "active_end_ms", "activity_ratio", "method")
+
+
+@query(
+    f"""WITH {LINES}, t AS (SELECT line_key, start_ms, greatest(end_ms, start_ms + 1) AS stop, {mora_sql('reading')} AS v FROM l WHERE start_ms IS NOT NULL AND end_ms IS NOT NULL),
+u AS (SELECT line_key, start_ms, stop, len(v) AS n, unnest(v) AS text, unnest(range(len(v))) AS i FROM t)
+SELECT line_key, i::INT AS pos, text, start_ms + round_even((stop - start_ms) * i / n, 0)::BIGINT AS start_ms, start_ms + round_even((stop - start_ms) * (i + 1) / n, 0)::BIGINT AS end_ms FROM u"""
+)
+def lasting_split(spark, sf):
+    """The offline split of every line: lines without time count as a millisecond."""
+    lines = _lines(spark, sf, "reading", "start_ms", "end_ms").filter("start_ms is not null and end_ms is not null")
+    parts = intervals.split_lasting(T.split_mora(F.col("reading")), F.col("start_ms"), F.col("end_ms"))
+    return lines.select("line_key", F.posexplode(parts).alias("pos", "m")).select("line_key", "pos", "m.text", "m.start_ms", "m.end_ms")
+
+
 # ------------------------------------------------------------------- metrics, stages
 
 
@@ -427,6 +482,30 @@ def rollup_metrics(spark, sf):
     return metrics.rollup(_metrics(spark, sf), ["category", "status"])
 
 
+@query(
+    f"""WITH {LINES}, j AS (SELECT artifact_id, CASE WHEN count(*) FILTER (status IS NULL) > 0 THEN 'failed' ELSE 'ok' END AS state, count(*) AS lines, count(*) FILTER (coalesce(reading <> '', false) AND coalesce(status <> 'non_sung', true)) AS eligible,
+  count(*) FILTER (alignment_status = 'ctc') AS accepted, max(end_ms) / 1000.0 AS seconds FROM l GROUP BY 1)
+SELECT state, count(*) AS jobs, sum(lines)::BIGINT AS lines, sum(eligible)::BIGINT AS eligible, sum(accepted)::BIGINT AS accepted, round(sum(accepted) / nullif(sum(eligible), 0), 6) AS acceptance_rate, round(coalesce(sum(seconds), 0), 3) AS seconds FROM j GROUP BY 1"""
+)
+def job_states(spark, sf):
+    """Artifacts as jobs, by state: lines, acceptance and seconds."""
+    lines = _lines(spark, sf, "artifact_id", "reading", "status", "alignment_status", "end_ms")
+    eligible = F.coalesce(F.col("reading") != "", F.lit(False)) & F.coalesce(F.col("status") != "non_sung", F.lit(True))
+    jobs = lines.groupBy("artifact_id").agg(
+        F.when(F.count(F.when(F.col("status").isNull(), 1)) > 0, "failed").otherwise("ok").alias("state"), F.count("*").alias("lines"), F.count(F.when(eligible, 1)).alias("eligible"),
+        F.count(F.when(F.col("alignment_status") == "ctc", 1)).alias("accepted"), (F.max("end_ms") / 1000).alias("seconds"),
+    )
+    return metrics.job_rollup(jobs, ["state"])
+
+
+@query(
+    f"""WITH {LINES}, w AS (SELECT unnest(warnings) AS note, artifact_id FROM l) SELECT note, count(*) AS n, count(DISTINCT artifact_id) AS jobs FROM w GROUP BY 1"""
+)
+def warning_counts(spark, sf):
+    w = _lines(spark, sf, "artifact_id", "warnings").select("artifact_id", F.explode("warnings").alias("note"))
+    return w.groupBy("note").agg(F.count("*").alias("n"), F.countDistinct("artifact_id").alias("jobs"))
+
+
 @query(f"WITH {_METRICS} SELECT reason, count(*) AS n FROM (SELECT unnest(reasons) AS reason FROM mm) GROUP BY 1")
 def fallback_reasons(spark, sf):
     return metrics.reason_counts(_metrics(spark, sf))

@@ -88,11 +88,15 @@ def wav_frames(files: DataFrame, hop_ms: int, window_ms: int) -> DataFrame:
 
 
 def read_wav(content: bytes) -> tuple[int, np.ndarray]:
-    """(rate, samples in [-1, 1]) of 8, 16 or 32 bit PCM."""
+    """(rate, samples in [-1, 1]) of 8, 16, 24 or 32 bit PCM."""
     with wave.open(io.BytesIO(content)) as f:
         width, channels, rate = f.getsampwidth(), f.getnchannels(), f.getframerate()
         data = f.readframes(f.getnframes())
-    x = np.frombuffer(data, {1: "uint8", 2: "<i2", 4: "<i4"}[width]).astype("float32")
+    if width == 3:  # the three bytes as the upper ones of four
+        raw = np.frombuffer(data, "uint8").reshape(-1, 3)
+        x = (np.c_[np.zeros(len(raw), "uint8"), raw].view("<i4").ravel() >> 8).astype("float32")
+    else:
+        x = np.frombuffer(data, {1: "uint8", 2: "<i2", 4: "<i4"}[width]).astype("float32")
     x = (x - 128) / 128 if width == 1 else x / float(1 << (8 * width - 1))
     return rate, x.reshape(-1, channels).mean(axis=1)
 

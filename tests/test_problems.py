@@ -199,6 +199,16 @@ def test_files_read_grow_with_the_changes(spark, tmp_path):
     assert store.changed_since(old).count() == 0 and store.changed_since(leaves.select("key", newer.alias("version"), "state")).count() == 0
 
 
+def test_child_tables_have_the_children_found(spark, small):
+    """Every child that p1_found lists is a row of its kind's flat table, and no other."""
+    want = problems.p1_found(spark, small).cache()
+    for kind, name in (("mora", "p1_mora"), ("token", "p1_tokens"), ("span", "p1_spans"), ("unit", "p1_units"), ("char", "p1_chars")):
+        keys = ["artifact_id", "line_pos", "pos"] + (["parent_pos"] if kind == "char" else [])
+        got = problems.QUERIES[name](spark, small).select(*keys)
+        listed = want.filter(F.col("child") == kind).select(*keys)
+        assert listed.exceptAll(got).count() == got.exceptAll(listed).count() == 0, kind
+
+
 # ------------------------------------------------------------------ drift
 
 
