@@ -240,19 +240,11 @@ def edit_script(old: list[dict], new: list[dict], apart: frozenset[tuple[str, st
 
 # ---------------------------------------------------------------------------------------- profiles
 
-_PROFILE = "feed string, file_seq int, path array<string>, types int, n bigint, seen bigint, nums bigint, fracs bigint, lo double, hi double, sketch array<bigint>"
+_PROFILE = "feed string, file_seq int, path array<string>, types int, n bigint, seen bigint, nums bigint, fracs bigint, lo double, hi double, sketch array<int>"
 
 
-def _type(v: object) -> int:
-    if isinstance(v, str):
-        return 1
-    if isinstance(v, bool):
-        return 8
-    if isinstance(v, int):
-        return 2
-    if isinstance(v, float):
-        return 4
-    return 16 if isinstance(v, list) else 32
+#: The bit of a JSON value's type.
+_TYPE = {str: 1, int: 2, float: 4, bool: 8, list: 16, dict: 32}
 
 
 def _plain(v: object) -> object:
@@ -263,35 +255,61 @@ def _plain(v: object) -> object:
 
 
 class _Stats:
-    __slots__ = ("types", "n", "seen", "nums", "fracs", "lo", "hi", "values")
+    """What is known of one member of one file. Values are hashed when there are many or at the end, each distinct one once."""
+
+    __slots__ = ("types", "n", "seen", "nums", "fracs", "lo", "hi", "values", "hashes")
 
     def __init__(self) -> None:
         self.types = self.n = self.seen = self.nums = self.fracs = 0
         self.lo, self.hi = float("inf"), float("-inf")
-        self.values: set = set()
+        self.values: set[str] = set()
+        self.hashes: list[int] = []
+
+    def number(self, x: float) -> None:
+        self.nums += 1
+        self.fracs += not x.is_integer()
+        if x < self.lo:
+            self.lo = x
+        if x > self.hi:
+            self.hi = x
 
     def add(self, v: object) -> None:
         self.seen += 1
         if v is None:
             return
         self.n += 1
-        self.types |= _type(v)
-        v = _plain(v)
-        x = None
-        if isinstance(v, (int, float)) and not isinstance(v, bool):
-            x = float(v)
-        elif isinstance(v, str):
-            try:
-                x = float(v)
-            except ValueError:
-                pass
-        if x is not None and x == x:
-            self.nums += 1
-            self.fracs += not x.is_integer()
-            self.lo, self.hi = min(self.lo, x), max(self.hi, x)
-        self.values.add(_hash(v if isinstance(v, str) else json.dumps(v, sort_keys=True, ensure_ascii=False)))
+        kind = v.__class__
+        self.types |= _TYPE[kind]
+        if kind is list or kind is dict:
+            v = _plain(v)
+            kind = v.__class__
+        if kind is str:
+            if v[:1] in _BEGINS_NUMBER:
+                try:
+                    x = float(v)
+                    if x == x:
+                        self.number(x)
+                except ValueError:
+                    pass
+            self.values.add(v)
+        elif kind is int or kind is float:
+            self.number(float(v))
+            self.values.add(repr(v))
+        else:
+            self.values.add(json.dumps(v, sort_keys=True, ensure_ascii=False))
         if len(self.values) > 16 * SKETCH:
-            self.values = set(heapq.nsmallest(SKETCH, self.values))
+            self.sketch()
+
+    def sketch(self) -> list[int]:
+        from xxhash import xxh32_intdigest
+
+        self.hashes = heapq.nsmallest(SKETCH, {*self.hashes, *(xxh32_intdigest(v) - 2**31 for v in self.values)})
+        self.values.clear()
+        return self.hashes
+
+
+#: What a number in a string can begin with.
+_BEGINS_NUMBER = frozenset("0123456789+-. \tinINfF")
 
 
 def _object(payload: str | None) -> dict | None:
@@ -302,12 +320,6 @@ def _object(payload: str | None) -> dict | None:
     return v if isinstance(v, dict) else None
 
 
-def _hash(text: str) -> int:
-    from xxhash import xxh64_intdigest
-
-    return xxh64_intdigest(text) - 2**63
-
-
 #: Members of files that a task holds profiles of before it passes them on.
 MOST_HELD = 20_000
 
@@ -318,10 +330,10 @@ def _partials(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def rows() -> pa.RecordBatch:
         made = [
-            (k[0], k[1], list(k[2:]), s.types, s.n, s.seen, s.nums, s.fracs, s.lo if s.nums else None, s.hi if s.nums else None, heapq.nsmallest(SKETCH, s.values)) for k, s in stats.items()
+            (k[0], k[1], list(k[2:]), s.types, s.n, s.seen, s.nums, s.fracs, s.lo if s.nums else None, s.hi if s.nums else None, s.sketch()) for k, s in stats.items()
         ]
         cols = list(zip(*made)) or [[]] * 11
-        kinds = [pa.string(), pa.int32(), pa.list_(pa.string()), pa.int32(), *[pa.int64()] * 4, *[pa.float64()] * 2, pa.list_(pa.int64())]
+        kinds = [pa.string(), pa.int32(), pa.list_(pa.string()), pa.int32(), *[pa.int64()] * 4, *[pa.float64()] * 2, pa.list_(pa.int32())]
         stats.clear()
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["feed", "file_seq", "path", "types", "n", "seen", "nums", "fracs", "lo", "hi", "sketch"])
 
@@ -337,9 +349,10 @@ def _partials(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     if s is None:
                         s = stats[key] = _Stats()
                     s.add(x)
-                    if isinstance(x, dict):
+                    kind = x.__class__
+                    if kind is dict:
                         stack.append((key, x))
-                    elif isinstance(x, list):  # entries that are objects share one schema
+                    elif kind is list:  # entries that are objects share one schema
                         inner = [e for e in x if isinstance(e, dict)]
                         if inner:
                             own = stats.setdefault((*key, "[]"), _Stats())
