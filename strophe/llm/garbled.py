@@ -1,8 +1,8 @@
 """Text decoded with the wrong character encoding: finding it and undoing it.
 
 A multinomial classifier over hashed byte bigrams (of the UTF-8 form) is trained on synthetically
-garbled records: clean records of a bounded sample pass through every encoding chain, a chain
-being one or two steps "written in A, read as B". For a text, every chain's bigram log ratios
+garbled records: all clean records pass through every encoding chain, a chain being one or two
+steps "written in A, read as B"; tasks count bigrams, which are summed (``fit``). For a text, every chain's bigram log ratios
 against the clean class are summed over the best stretch of the text (so damage in part of a
 text isn't diluted); the best chain is inverted on that stretch, and the inversion counts only
 if every step is strictly decodable and the clean model prefers its result.
@@ -13,11 +13,13 @@ damaged whether or not the rest can be restored; repeated rows count once.
 
 from __future__ import annotations
 
+import codecs
 import re
 import uuid
+import zlib
 from bisect import bisect_left
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -28,7 +30,7 @@ from strophe.llm.sampling import smallest
 
 #: Buckets that byte bigrams are hashed to.
 BUCKETS = 1 << 16
-#: Values of a column that the classifier is fitted on, at most.
+#: Values of a column that problems 5 and 6 fit the classifier on, at most.
 SAMPLE = 6000
 #: Log ratio that a stretch must reach to be looked at, and to count where it can't be inverted.
 LOOK, SURE = 6.0, 40.0
@@ -57,8 +59,7 @@ def _single(name: str) -> tuple[str, dict[str, int]]:
 def read_as(data: bytes, name: str) -> str:
     """Decode, with replacement characters where a multi-byte encoding can't."""
     if name in _NARROW:
-        table = _single(name)[0]
-        return "".join(map(table.__getitem__, data))
+        return codecs.charmap_decode(data, "strict", _single(name)[0])[0]
     return data.decode(name, "replace")
 
 
@@ -146,23 +147,19 @@ class Model:
     @classmethod
     def fit(cls, texts: Iterable[str]) -> Model:
         """From records that are mostly clean: those with lost or control characters are left out."""
-        texts = sorted({t for t in texts if t and not _plainly_damaged(t)})
+        return cls.of(*tally(sorted({t for t in texts if t and not _plainly_damaged(t)})))
+
+    @classmethod
+    def of(cls, counts: np.ndarray, made: np.ndarray) -> Model:
+        """From the counts of ``tally``, which add up over texts."""
         smooth = lambda c, a: np.log((c + a) / (c.sum() + a * BUCKETS))
-        kinds: list[list[str]] = [[] for _ in range(len(_SCRIPTS) + 1)]
-        for t in texts:
-            kinds[_script(t)].extend((t, t.upper(), t.lower()) if _script(t) >= 3 else (t,))
         # a bigram is as likely as in the kind of text that has it most; one that few records have may be damage
-        counts = [c for c in map(_count, kinds) if c.sum()]
-        clean = np.stack([smooth(np.where(c >= 1 + c.sum() / 20000, c, c / 4), 0.02) for c in counts] or [np.zeros(BUCKETS)]).max(axis=0)
-        extra = _count(_lookalikes(texts))
+        kinds = [c for c in counts[:_KINDS] if c.sum()]
+        clean = np.stack([smooth(np.where(c >= 1 + c.sum() / 20000, c, c / 4), 0.02) for c in kinds] or [np.zeros(BUCKETS)]).max(axis=0)
+        extra = counts[_KINDS]
         clean = np.maximum(clean, np.where(extra >= 3, smooth(extra, 0.02), -99)) if extra.sum() else clean
-        rows, chains = [], []
-        wide = [t for t in texts if not t.isascii()]
-        for chain in CHAINS:
-            made = [g for t in wide if (g := garble(t, chain)) is not None and g != t and g.count("\ufffd") * 2 < len(g)]
-            if len(made) >= 5:
-                rows.append(smooth(_count(made), 0.02) - clean)
-                chains.append(chain)
+        enough = [k for k in range(len(CHAINS)) if made[k] >= 5]
+        rows, chains = [smooth(counts[_KINDS + 1 + k], 0.02) - clean for k in enough], [CHAINS[k] for k in enough]
         ratio = np.stack(rows) if rows else np.full((1, BUCKETS), -1.0)
         return cls(np.clip(ratio, -6, 6).astype("float32"), clean.astype("float32"), chains or [()])
 
@@ -316,7 +313,52 @@ def _plainly_damaged(text: str) -> bool:
 
 
 def _count(texts: list[str]) -> np.ndarray:
-    return np.bincount(_bigrams(b"".join(map(_pad, texts)) + b" "), minlength=BUCKETS).astype("float64")
+    if not texts:
+        return np.zeros(BUCKETS)
+    return np.bincount(_bigrams(f" {'  '.join(texts)}  ".encode("utf-8", "replace")), minlength=BUCKETS).astype("float64")
+
+
+#: Kinds of text that are counted apart.
+_KINDS = len(_SCRIPTS) + 1
+
+
+def _write(texts: list[str], name: str) -> tuple[list[int], bytes]:
+    """Which of the texts an encoding can write, and these with zeros between."""
+    at, out = [], []
+    for i, t in enumerate(texts):
+        try:
+            out.append(t.encode("cp1252" if name == "latin_1" else name))
+            at.append(i)
+        except UnicodeEncodeError:
+            pass
+    return at, b"\0".join(out)
+
+
+def _garble_all(texts: list[str]) -> Iterator[list[str]]:
+    """``garble`` of all texts (none holds a zero) at once, for each chain: those that change and stay half readable."""
+    written = {a: _write(texts, a) for a in {chain[0][0] for chain in CHAINS}}
+    for chain in CHAINS:
+        at, data = written[chain[0][0]]
+        now = read_as(data, chain[0][1]).split("\0") if at else []
+        for a, b in chain[1:]:
+            own, data = _write(now, a)
+            at, now = [at[i] for i in own], read_as(data, b).split("\0") if own else []
+        yield [g for i, g in zip(at, now, strict=True) if g != texts[i] and g.count("\ufffd") * 2 < len(g)]
+
+
+def tally(texts: list[str], places: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Bigrams of the texts of each kind, of their look-alikes and of what each chain makes of them, a row each;
+    and how many texts each chain garbles. ``places`` choose each text's look-alike (else the order does)."""
+    counts, made = np.zeros((_KINDS + 1 + len(CHAINS), BUCKETS)), np.zeros(len(CHAINS))
+    kinds: list[list[str]] = [[] for _ in range(_KINDS)]
+    for t in texts:
+        kind = _script(t)
+        kinds[kind].extend((t, t.upper(), t.lower()) if kind >= 3 else (t,))
+    for k, found in enumerate((*kinds, _lookalikes(texts, places))):
+        counts[k] = _count(found)
+    for k, found in enumerate(_garble_all([t.replace("\0", " ") for t in texts if not t.isascii()])):
+        counts[_KINDS + 1 + k], made[k] = _count(found), len(found)
+    return counts, made
 
 
 #: Characters beyond ASCII that stand together, but for one between.
@@ -334,13 +376,13 @@ def _spans(size: int, words: list[tuple[int, int]], runs: list[tuple[int, int]],
     return list(dict.fromkeys(s for s in out if s[0] < s[1]))
 
 
-def _lookalikes(texts: list[str]) -> list[str]:
+def _lookalikes(texts: list[str], places: list[int] | None = None) -> list[str]:
     """Undamaged spellings that a corpus also holds: other widths, separate accents, blanks, letters drawn alike."""
     import unicodedata
 
     greek = str.maketrans("aeopcxyijsABEHIKMNOPTXo", "аеорсхуіјѕАВЕНІКМΝОРТХο")
     out = []
-    for k, t in enumerate(texts):
+    for k, t in zip(range(len(texts)) if places is None else places, texts):
         kind = k % 6
         if kind == 0:
             out.append("".join(chr(ord(c) + 0xFEE0) if "!" <= c <= "~" else c for c in t))
@@ -379,12 +421,33 @@ def _radicals() -> dict[int, str]:
     return {ord(unicodedata.normalize("NFKC", chr(i))): chr(i) for i in range(0x2F00, 0x2FD6)}
 
 
-def fit(spark: SparkSession, columns: list[tuple[DataFrame, str, str]], sample: int = SAMPLE) -> Model:
-    """Train on at most ``sample`` values of each (table, key column, text column)."""
-    texts: set[str] = set()
-    for df, key, column in columns:
-        texts.update(r["t"] for r in smallest(df.select(F.col(key).alias("key"), F.col(column).cast("string").alias("t")).filter("t is not null"), "key", sample))
-    return Model.fit(texts)
+def fit(spark: SparkSession, columns: list[tuple[DataFrame, str, str]], sample: int | None = None) -> Model:
+    """Train on all distinct values of each (table, key column, text column), or on at most ``sample`` of each.
+
+    Of all values each task sends its counts, at most a row per chain and bucket; the driver gets their sums."""
+    if sample is not None:
+        texts: set[str] = set()
+        for df, key, column in columns:
+            texts.update(r["t"] for r in smallest(df.select(F.col(key).alias("key"), F.col(column).cast("string").alias("t")).filter("t is not null"), "key", sample))
+        return Model.fit(texts)
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts = made = None
+        for pdf in batches:
+            texts = [t for t in pdf["t"] if not _plainly_damaged(t)]
+            more = tally(texts, [zlib.crc32(t.encode("utf-8", "replace")) for t in texts])
+            counts, made = more if counts is None else (np.add(counts, more[0], out=counts), made + more[1])
+        if counts is not None:
+            flat = np.concatenate([counts.ravel(), made])
+            at = np.nonzero(flat)[0]
+            yield pd.DataFrame({"at": at.astype("int32"), "n": flat[at].astype("int64")})
+
+    values = reduce(DataFrame.unionAll, [df.select(F.col(column).cast("string").alias("t")).filter("t != ''") for df, _, column in columns]).distinct()
+    total = values.mapInPandas(run, "at int, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    rows = _KINDS + 1 + len(CHAINS)
+    flat = np.zeros(rows * BUCKETS + len(CHAINS))
+    flat[total["at"].to_numpy()] = total["n"].to_numpy()
+    return Model.of(flat[: rows * BUCKETS].reshape(rows, BUCKETS), flat[rows * BUCKETS :])
 
 
 def repairer(spark: SparkSession, model: Model):

@@ -7,7 +7,8 @@ sentence of a document, a word of a line) are corrected for the filters' false p
 become log-likelihoods; a Viterbi pass with a price on every change of language splits a text.
 
 An n-gram belongs to a language if it is frequent enough there against every other language, so
-wrong labels in the (bounded) training sample don't leak n-grams into other languages' filters.
+wrong labels in the training texts don't leak n-grams into other languages' filters. Training counts
+the n-grams of all labelled texts in Spark; the table grows with the n-grams it holds (``train``).
 
 Defined results: null, empty and wordless texts have no language and give no row; names, numbers,
 marks and sung syllables are no evidence; repeated rows count once.
@@ -18,6 +19,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -25,6 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strophe.llm.sampling import smallest
+from strophe.session import cut_lineage
 
 LANGS = ("en", "ja", "es", "fr", "de", "pt", "ko", "zh")
 #: Spellings of the languages' names in labels (fixed values of ISO 639 and common names).
@@ -38,10 +41,10 @@ NAMES = {
     "ko": ("ko", "kor", "kr", "korean", "한국어"),
     "zh": ("zh", "zho", "chi", "cmn", "cn", "chinese", "mandarin", "中文", "汉语"),
 }
-#: Labelled documents and lines that the filters are trained on, at most (of each table).
-SAMPLE_DOCUMENTS, SAMPLE_LINES = 3000, 9000
-#: log2 of the filter's positions, and hash functions.
-BITS, HASHES = 20, 2
+#: Labelled documents that problem 10 trains the filters on, at most.
+SAMPLE_DOCUMENTS = 3000
+#: log2 of the filter's positions at least and at most (four times the n-grams of a language in between), and hash functions.
+BITS, MOST_BITS, HASHES = 20, 24, 2
 #: An n-gram is a language's if its share there is at least this part of its largest share anywhere.
 SHARE = 0.4
 #: Times that an n-gram of several languages should have been seen in another before its absence means something.
@@ -158,6 +161,30 @@ class Grams:
         return np.concatenate([f[0] for f in self.families]), np.concatenate([f[1] for f in self.families])
 
 
+def _positions(h: np.ndarray, bits: int) -> list[np.ndarray]:
+    mix = h ^ (h >> np.uint32(15))
+    return [(mix * np.uint32(c)) >> np.uint32(32 - bits) for c in (0x2C1B3C6D, 0x297A2D39)[:HASHES]]
+
+
+def _set(table: np.ndarray, ids: np.ndarray, counts: np.ndarray, total: np.ndarray) -> None:
+    """Put n-grams, counted by language, into the filters of the languages that have them; ``total`` are the languages' counts of all."""
+    share = counts / np.maximum(total, 1)
+    has = (share >= SHARE * share.max(axis=0)) & (counts >= 2)
+    # what several languages have (names) is no evidence against one whose texts are too few to show it
+    common = has.sum(axis=0) >= 3
+    usual = np.where(has, share, 0).sum(axis=0) / np.maximum(has.sum(axis=0), 1)
+    has |= common & (total * usual < UNSEEN)
+    for i in range(8):
+        for p in _positions(ids[has[i]], len(table).bit_length() - 1):
+            # each position takes the languages of all n-grams that hash to it
+            table[p] |= np.uint8(1 << i)
+
+
+def _owners(texts: list[str], grams: Grams) -> np.ndarray:
+    """The text that each word is of."""
+    return np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), grams.starts, side="right") if texts else np.empty(0, int)
+
+
 class Filters:
     """Bit-sliced Bloom filters of all languages: one byte per position, one bit per language."""
 
@@ -166,26 +193,24 @@ class Filters:
         fill = np.array([((table >> np.uint8(i)) & 1).mean() for i in range(8)])
         self.false = fill**HASHES
 
-    @staticmethod
-    def positions(h: np.ndarray) -> list[np.ndarray]:
-        mix = h ^ (h >> np.uint32(15))
-        return [(mix * np.uint32(c)) >> np.uint32(32 - BITS) for c in (0x2C1B3C6D, 0x297A2D39)[:HASHES]]
+    def positions(self, h: np.ndarray) -> list[np.ndarray]:
+        return _positions(h, len(self.table).bit_length() - 1)
 
     @classmethod
     def train(cls, texts: list[str], langs: list[int]) -> Filters:
         """From labelled texts of which some labels are wrong; a second round leaves out texts that the first contradicts."""
         grams = Grams(texts)
-        line = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), grams.starts, side="right") if texts else np.empty(0, int)
-        lang = np.array(langs)[line] if texts else np.empty(0, int)
+        line, lang = _owners(texts, grams), np.array(langs, int)
         h, unit = grams.all()
-        table = cls._build(h, lang[unit])
-        first = cls(table)
-        score = first.words(grams)
+        first = cls(cls._build(h, lang[line][unit]))
+        ok = first.agrees(texts, grams, lang)[line][unit]
+        return cls(cls._build(h[ok], lang[line][unit][ok])) if ok.any() else first
+
+    def agrees(self, texts: list[str], grams: Grams, lang: np.ndarray) -> np.ndarray:
+        """Whether each text's likeliest language is the given one."""
         per = np.zeros((len(texts), 8))
-        np.add.at(per, line, score)
-        keep = (per.argmax(axis=1) == np.array(langs)) & (per.max(axis=1) > 0)
-        ok = keep[line][unit]
-        return cls(cls._build(h[ok], lang[unit][ok])) if ok.any() else first
+        np.add.at(per, _owners(texts, grams), self.words(grams))
+        return (per.argmax(axis=1) == lang) & (per.max(axis=1) > 0) if len(texts) else np.empty(0, bool)
 
     @classmethod
     def _build(cls, h: np.ndarray, lang: np.ndarray) -> np.ndarray:
@@ -196,17 +221,7 @@ class Filters:
         counts = np.zeros((8, len(ids)))
         for i in range(8):
             counts[i] = np.bincount(inverse[lang == i], minlength=len(ids))
-        total = counts.sum(axis=1, keepdims=True)
-        share = counts / np.maximum(total, 1)
-        has = (share >= SHARE * share.max(axis=0)) & (counts >= 2)
-        # what several languages have (names) is no evidence against one whose sample is too small to show it
-        common = has.sum(axis=0) >= 3
-        usual = np.where(has, share, 0).sum(axis=0) / np.maximum(has.sum(axis=0), 1)
-        has |= common & (total * usual < UNSEEN)
-        for i in range(8):
-            for p in cls.positions(ids[has[i]]):
-                # each position takes the languages of all n-grams that hash to it
-                table[p] |= np.uint8(1 << i)
+        _set(table, ids, counts, counts.sum(axis=1, keepdims=True))
         return table
 
     def words(self, grams: Grams) -> np.ndarray:
@@ -341,31 +356,91 @@ def slices(sizes: list[int], most: int) -> list[tuple[int, int]]:
     return out
 
 
-def train(spark: SparkSession, sources: list[tuple[DataFrame, str, str, str, int]]) -> Filters:
-    """Filters from a bounded number of labelled texts of each (table, key column, text column, label column, bound)."""
-    texts, langs = [], []
-    for df, key, text, label, sample in sources:
-        rows = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("t"), label_code(F.col(label)).alias("l")).filter("t is not null and l is not null")
-        for r in smallest(rows, "key", sample):
-            texts.append(plain(r["t"]).replace("\n", " "))
-            langs.append(LANGS.index(r["l"]))
-    return Filters.train(texts, langs)
+def train(spark: SparkSession, sources: list[tuple]) -> Filters:
+    """Filters from the labelled texts of each (table, key column, text column, label column): from all of them, or,
+    where a bound is given as a fifth value, from so many of each at most.
+
+    Of all texts each is counted as often as it has rows that differ. Tasks count n-grams by language, Spark adds them up
+    and sets the table's bits; only the table comes to the driver. The second round subtracts what the texts count that
+    the first contradicts."""
+    tables = [df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("t"), label_code(F.col(label)).alias("l")).filter("t is not null and l is not null") for df, key, text, label, *_ in sources]
+    if all(len(s) > 4 for s in sources):
+        rows = [r for df, s in zip(tables, sources) for r in smallest(df, "key", s[4])]
+        return Filters.train([plain(r["t"]).replace("\n", " ") for r in rows], [LANGS.index(r["l"]) for r in rows])
+    texts = reduce(DataFrame.unionAll, [df.distinct().groupBy("t", "l").agg(F.count("*").alias("n")) for df in tables])
+    counts = cut_lineage(_added(texts.mapInPandas(lambda batches: _counted(batches, None), _GRAMS)))
+    first, _ = _filters(counts)
+    shared = spark.sparkContext.broadcast(first.table)
+    wrong = texts.mapInPandas(lambda batches: _counted(batches, Filters(shared.value)), _GRAMS)
+    rest = counts.unionAll(_added(wrong)).groupBy("g").agg(*[F.sum(c).alias(c) for c in _SUMS])
+    second, some = _filters(cut_lineage(rest))
+    return second if some else first
+
+
+_SUMS = [f"l{i}" for i in range(8)]
+_GRAMS = "g int, l int, n bigint"
+
+
+def _added(grams: DataFrame) -> DataFrame:
+    """(g, l0..l7): how often each n-gram was seen in each language."""
+    return grams.groupBy("g").agg(*[F.sum(F.when(F.col("l") == i, F.col("n")).otherwise(0)).alias(c) for i, c in enumerate(_SUMS)])
+
+
+def _counted(batches: Iterable[pd.DataFrame], first: Filters | None) -> Iterator[pd.DataFrame]:
+    """(n-gram, language, times) of texts; if there are filters, of those that they contradict, less than nothing."""
+    for pdf in batches:
+        every = [plain(t).replace("\n", " ") for t in pdf["t"]]
+        every = [t + " " * (-(len(t) + 1) % 64) for t in every]  # words are cut alike wherever a text stands
+        langs, times = pdf["l"].map(LANGS.index).to_numpy("int64"), pdf["n"].to_numpy("int64")
+        for a, b in slices([len(t) for t in every], STEP):
+            grams = Grams(every[a:b])
+            h, unit = grams.all()
+            text = _owners(every[a:b], grams)[unit]
+            if first is not None:
+                wrong = ~first.agrees(every[a:b], grams, langs[a:b])[text]
+                h, text = h[wrong], text[wrong]
+            ids, often = h.astype("uint64") << np.uint64(3) | langs[a:b].astype("uint64")[text], times[a:b][text]
+            once, seen = often == 1, np.unique(ids[often == 1], return_counts=True)  # most are: sorted without their places
+            rest, inverse = np.unique(ids[~once], return_inverse=True)
+            for ids, often in (seen, (rest, np.bincount(inverse, weights=often[~once]))):
+                yield pd.DataFrame({"g": (ids >> np.uint64(3)).astype("uint32").view("int32"), "l": (ids & np.uint64(7)).astype("int32"), "n": often.astype("int64") * (1 if first is None else -1)})
+
+
+def _filters(counts: DataFrame) -> tuple[Filters, bool]:
+    """The filters of counted n-grams, and whether any is left."""
+    row = counts.agg(*[F.sum(c).alias(c) for c in _SUMS], *[F.count_if(F.col(c) >= 2).alias(f"{c}_ids") for c in _SUMS]).first()
+    total = np.array([[row[c] or 0] for c in _SUMS], "float64")
+    bits = min(MOST_BITS, max(BITS, (4 * max(row[f"{c}_ids"] for c in _SUMS) - 1).bit_length()))
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        table = np.zeros(1 << bits, "uint8")
+        for pdf in batches:
+            _set(table, pdf["g"].to_numpy("int32").view("uint32"), pdf[_SUMS].to_numpy("float64").T, total)
+        at = np.nonzero(table)[0]
+        yield pd.DataFrame({"at": at.astype("int32"), "bits": table[at].astype("int16")})
+
+    found = counts.mapInPandas(run, "at int, bits smallint").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    table = np.zeros(1 << bits, "uint8")
+    table[found["at"].to_numpy()] = found["bits"].to_numpy().astype("uint8")
+    return Filters(table), bool(total.any())
 
 
 def languages(df: DataFrame, key: str, text: str, label: str, filters: Filters, sentences: bool, repair=None) -> DataFrame:
     """(key, seg, lang, confidence, label): every stretch of every text with words; ``label`` is the code its label names.
     ``repair`` is an optional function of a list of texts that puts wrongly decoded ones right first."""
-    shared = df.sparkSession.sparkContext.broadcast(filters.table)  # 2**BITS bytes
+    shared = df.sparkSession.sparkContext.broadcast(filters.table)  # a byte per position
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         splitter = Splitter(Filters(shared.value), sentences)
         for pdf in batches:
-            texts = list(pdf["text"])
+            which, texts = pd.factorize(pdf["text"])
+            texts = list(texts)  # one that repeats is looked at once per batch
             if repair is not None:
                 texts = repair(texts)
             found = []
             for a, b in slices([len(t) for t in texts], STEP):
                 found += splitter.split(texts[a:b])
+            found = [found[i] for i in which]
             counts = [len(x) for x in found]
             out = pdf.loc[pdf.index.repeat(counts), ["key", "label"]].copy()
             out["seg"] = np.concatenate([np.arange(c, dtype="int32") for c in counts]) if counts else np.empty(0, "int32")

@@ -16,7 +16,7 @@ GARBLED_FIELDS = (("lyrics_timeline", "text", "line_id"), ("song_metadata", "nam
 
 def _garbled(spark: SparkSession, sf: str) -> DataFrame:
     fields = [(table(spark, sf, t), t, f, k) for t, f, k in GARBLED_FIELDS]
-    model = garbled.fit(spark, [(df, k, f) for df, _, f, k in fields])
+    model = garbled.fit(spark, [(df, k, f) for df, _, f, k in fields], garbled.SAMPLE)
     parts = [garbled.damage(df, k, f, model).select(F.lit(t).alias("tbl"), F.lit(f).alias("fld"), F.col("key").cast("bigint").alias("rec_id"), "text", "restored") for df, t, f, k in fields]
     return reduce(DataFrame.unionAll, parts)
 
@@ -35,7 +35,7 @@ LABELLED = (("documents", "doc_id", "text", "lang"), ("lyrics_timeline", "line_i
 
 def _stretches(spark: SparkSession, sf: str) -> list[tuple[str, DataFrame]]:
     tables = [(table(spark, sf, t), t, k, x, label) for t, k, x, label in LABELLED]
-    filters = langid.train(spark, [(df, k, x, label, langid.SAMPLE_DOCUMENTS if t == "documents" else langid.SAMPLE_LINES) for df, t, k, x, label in tables])
+    filters = langid.train(spark, [(df, k, x, label) for df, _, k, x, label in tables])
     lines = tables[1][0]
     repair = garbled.repairer(spark, garbled.fit(spark, [(lines, "line_id", "text")]))
     return [(t, langid.languages(df, k, x, label, filters, t == "documents", repair if t == "lyrics_timeline" else None)) for df, t, k, x, label in tables]
@@ -54,7 +54,7 @@ def p2_stretches(spark: SparkSession, sf: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     lyrics = table(spark, sf, "lyrics_timeline")
-    damaged = garbled.damage_test(spark, garbled.fit(spark, [(lyrics, "line_id", "text")]))
+    damaged = garbled.damage_test(spark, garbled.fit(spark, [(lyrics, "line_id", "text")], garbled.SAMPLE))
     pairs = lookalike.twins(lyrics, "song_dir", "line_id", "text", damaged)
     spans = lookalike.false_surfaces(table(spark, sf, "alignment_lines"))
     return pairs.select(F.lit("lyrics_timeline").alias("tbl"), "key_a", "key_b").unionAll(spans.select(F.lit("alignment_lines").alias("tbl"), F.col("line_key").alias("key_a"), F.col("pos").alias("key_b")))

@@ -1,10 +1,11 @@
 """Damage that is made is found and undone; clean spellings aren't touched."""
 
 import random
+import zlib
 
 import pytest
 
-from strophe.llm import garbled, langid, queries
+from strophe.llm import garbled, langid, lookalike, queries
 
 CLEAN = {
     "fr": "Où s'en va la lumière du port après l'été ? Je rêve toujours, je vois une étoile fêlée et le cœur endormi, là où naît la forêt",
@@ -125,3 +126,30 @@ def test_tables(spark, model):
     assert [(r.key, r.restored) for r in rows] == [(1, "étoile fêlée")]
     assert garbled.damage(df.limit(0), "k", "t", model).count() == 0
     assert garbled.fit(spark, [(df.limit(0), "k", "t")]).restore("é") is not None
+
+
+def test_many_texts_are_garbled_as_each_is():
+    many = [*CLEAN.values(), "a\ufffd", "\x80", "©", "ｱ", "é"]
+    for chain, made in zip(garbled.CHAINS, garbled._garble_all(many), strict=True):
+        if chain[0][1] != "euc_jp":  # there a text cut short is replaced by another number of marks
+            each = [g for t in many if (g := garbled.garble(t, chain)) is not None and g != t and g.count("\ufffd") * 2 < len(g)]
+            assert made == each
+
+
+@pytest.mark.parametrize("query", ["p2"])
+def test_the_model_comes_from_all_lines(spark, monkeypatch, query):
+    rows = [(i, f"{t} {i % 4001}") for i, t in enumerate(texts(5, 9000))]
+    df = spark.createDataFrame(rows, "line_id bigint, text string").repartition(3)
+    monkeypatch.setattr(queries, "table", lambda spark, sf, t: df)
+    got = []
+    monkeypatch.setattr(garbled, "repairer", lambda spark, model: got.append(model))
+    monkeypatch.setattr(garbled, "damage_test", lambda spark, model: got.append(model))
+    monkeypatch.setattr(langid, "train", lambda spark, tables: None)
+    monkeypatch.setattr(langid, "languages", lambda *_: None)
+    monkeypatch.setattr(lookalike, "twins", lambda *_: spark.createDataFrame([], "key_a bigint, key_b bigint"))
+    monkeypatch.setattr(lookalike, "false_surfaces", lambda *_: spark.createDataFrame([], "line_key bigint, pos bigint"))
+    queries._stretches(spark, "") if query == "p2" else queries.p6_found(spark, "")
+    every = sorted({t for _, t in rows})
+    whole = garbled.Model.of(*garbled.tally(every, [zlib.crc32(t.encode()) for t in every]))
+    assert len(every) > 8000 and got[0].chains == whole.chains
+    assert (got[0].clean == whole.clean).all() and (got[0].ratio == whole.ratio).all()

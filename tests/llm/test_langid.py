@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from strophe.llm import langid
+from strophe.llm import garbled, langid, queries
 from tests.llm.test_garbled import CLEAN
 
 
@@ -79,3 +79,28 @@ def test_labels_and_table(spark, filters):
     assert langid.languages(df.limit(0), "k", "text", "label", filters, False).count() == 0
     empty = langid.train(spark, [(df.limit(0), "k", "text", "label", 10)])
     assert langid.languages(df, "k", "text", "label", empty, False).count() == 0
+
+
+def test_filters_come_from_all_labelled_rows(spark, monkeypatch):
+    rows = [(t, x) for t, _, x in corpus(3, 13000, noise=0.08) if t.isascii() or " " in t][:10000]
+    df = spark.createDataFrame([(i, t, x) for i, (t, x) in enumerate(rows)], "id bigint, text string, lang string")
+    df = df.unionAll(df.limit(300))  # repeated rows count once
+    names = {"doc_id": "id", "line_id": "id", "line_key": "id", "reading": "text", "reading_lang": "lang"}
+    monkeypatch.setattr(queries, "table", lambda spark, sf, t: df.withColumns({k: df[c] for k, c in names.items()}))
+    monkeypatch.setattr(garbled, "fit", lambda spark, columns: None)
+    monkeypatch.setattr(garbled, "repairer", lambda spark, model: None)
+    got = []
+    monkeypatch.setattr(langid, "languages", lambda df, k, x, label, filters, *_: got.append(filters))
+    queries._stretches(spark, "")
+    every = [(langid.plain(t), langid.LANGS.index(x)) for t, x in rows] * 3
+    assert (got[0].table == langid.Filters.train(*map(list, zip(*every))).table).all()
+
+
+def test_filters_grow_with_their_ngrams(spark, monkeypatch):
+    monkeypatch.setattr(langid, "BITS", 6)
+    df = spark.createDataFrame([(i, t, x) for i, (t, _, x) in enumerate(corpus(1, 1500, noise=0.08))], "k bigint, text string, label string")
+    f = langid.train(spark, [(df, "k", "text", "label")])
+    assert len(f.table) > 1 << 6 and f.false.max() < 0.2
+    assert names(langid.Splitter(f, False).split(["Je rêve toujours, je vois une étoile fêlée"])) == [["fr"]]
+    empty = langid.train(spark, [(df.limit(0), "k", "text", "label")])
+    assert not empty.table.any()
