@@ -30,7 +30,7 @@ from strophe.llm.sampling import smallest
 
 #: Buckets that byte bigrams are hashed to.
 BUCKETS = 1 << 16
-#: Values of a column that problems 5 and 6 fit the classifier on, at most.
+#: Values of a column that problem 5 fits the classifier on, at most.
 SAMPLE = 6000
 #: Log ratio that a stretch must reach to be looked at, and to count where it can't be inverted.
 LOOK, SURE = 6.0, 40.0

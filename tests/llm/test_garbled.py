@@ -136,7 +136,7 @@ def test_many_texts_are_garbled_as_each_is():
             assert made == each
 
 
-@pytest.mark.parametrize("query", ["p2"])
+@pytest.mark.parametrize("query", ["p2", "p6"])
 def test_the_model_comes_from_all_lines(spark, monkeypatch, query):
     rows = [(i, f"{t} {i % 4001}") for i, t in enumerate(texts(5, 9000))]
     df = spark.createDataFrame(rows, "line_id bigint, text string").repartition(3)
