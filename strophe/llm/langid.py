@@ -209,7 +209,10 @@ class Filters:
     def agrees(self, texts: list[str], grams: Grams, lang: np.ndarray) -> np.ndarray:
         """Whether each text's likeliest language is the given one."""
         per = np.zeros((len(texts), 8))
-        np.add.at(per, _owners(texts, grams), self.words(grams))
+        if grams.words:
+            own = _owners(texts, grams)
+            at = np.nonzero(np.r_[True, own[1:] != own[:-1]])[0]
+            per[own[at]] = np.add.reduceat(self.words(grams).astype("float64"), at, axis=0)
         return (per.argmax(axis=1) == lang) & (per.max(axis=1) > 0) if len(texts) else np.empty(0, bool)
 
     @classmethod
@@ -367,7 +370,7 @@ def train(spark: SparkSession, sources: list[tuple]) -> Filters:
     if all(len(s) > 4 for s in sources):
         rows = [r for df, s in zip(tables, sources) for r in smallest(df, "key", s[4])]
         return Filters.train([plain(r["t"]).replace("\n", " ") for r in rows], [LANGS.index(r["l"]) for r in rows])
-    texts = reduce(DataFrame.unionAll, [df.distinct().groupBy("t", "l").agg(F.count("*").alias("n")) for df in tables])
+    texts = cut_lineage(reduce(DataFrame.unionAll, [df.distinct().groupBy("t", "l").agg(F.count("*").alias("n")) for df in tables]))
     counts = cut_lineage(_added(texts.mapInPandas(lambda batches: _counted(batches, None), _GRAMS)))
     first, _ = _filters(counts)
     shared = spark.sparkContext.broadcast(first.table)
