@@ -149,6 +149,7 @@ def test_the_model_comes_from_all_lines(spark, monkeypatch, query):
     monkeypatch.setattr(lookalike, "twins", lambda *_: spark.createDataFrame([], "key_a bigint, key_b bigint"))
     monkeypatch.setattr(lookalike, "false_surfaces", lambda *_: spark.createDataFrame([], "line_key bigint, pos bigint"))
     queries._stretches(spark, "") if query == "p2" else queries.p6_found(spark, "")
+    assert (got[0].clean != garbled.fit(spark, [(df, "line_id", "text")], garbled.SAMPLE).clean).any()
     every = sorted({t for _, t in rows})
     whole = garbled.Model.of(*garbled.tally(every, [zlib.crc32(t.encode()) for t in every]))
     assert len(every) > 8000 and got[0].chains == whole.chains

@@ -82,7 +82,9 @@ def test_labels_and_table(spark, filters):
 
 
 def test_filters_come_from_all_labelled_rows(spark, monkeypatch):
-    rows = [(t, x) for t, _, x in corpus(3, 13000, noise=0.08) if t.isascii() or " " in t][:10000]
+    # kana and han apart: the local training cuts their words by where they stand among all texts
+    rows = [(t, x) for t, lang, x in corpus(3, 14000, noise=0.08) if lang not in ("ja", "zh")][:10000]
+    rows = [(t + " " + "".join(chr(97 + int(d)) for d in f"{i // 2:05}"), x) for i, (t, x) in enumerate(rows)]  # words that few rows have
     df = spark.createDataFrame([(i, t, x) for i, (t, x) in enumerate(rows)], "id bigint, text string, lang string")
     df = df.unionAll(df.limit(300))  # repeated rows count once
     names = {"doc_id": "id", "line_id": "id", "line_key": "id", "reading": "text", "reading_lang": "lang"}
