@@ -20,6 +20,7 @@ import zlib
 from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from functools import lru_cache, reduce
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -114,17 +115,56 @@ def garble(text: str, chain: tuple[tuple[str, str], ...]) -> str | None:
 
 def invert(text: str, chain: tuple[tuple[str, str], ...]) -> str | None:
     """The text before the chain, if each step is strictly decodable."""
-    for a, b in reversed(chain):
-        if b == "utf-8":
-            return None  # reading with replacement loses the bytes
-        data = unread(text, b)
-        if data is None:
-            return None
-        try:
-            text = data.decode("cp1252" if a == "latin_1" else a)
-        except UnicodeDecodeError:
+    if chain[-1][1] == "utf-8":
+        return None  # reading with replacement loses the bytes
+    data = unread(text, chain[-1][1])
+    return None if data is None else _unwrite(data, chain)
+
+
+def _unwrite(data: bytes, chain: tuple[tuple[str, str], ...]) -> str | None:
+    """``invert`` from the bytes that the last step read."""
+    a = chain[-1][0]
+    if a == "utf-8" and data and (0x80 <= data[0] < 0xC2 or data[-1] >= 0xC0):
+        return None  # starts or ends within a character, the usual failure
+    try:
+        text = data.decode("cp1252" if a == "latin_1" else a)
+    except UnicodeDecodeError:
+        return None
+    return invert(text, chain[:-1]) if len(chain) > 1 else text
+
+
+class _Written:
+    """A text in the encoding that it was read in, from which the bytes of any stretch are cut."""
+
+    def __init__(self, text: str, name: str) -> None:
+        # the encodings have no state: a stretch's bytes are those of its characters
+        if name in _NARROW:
+            back = _single(name)[1]
+            self.lacking = [n for n, c in enumerate(text) if c not in back]
+            self.data, self.ends = bytes([back.get(c, 0) for c in text]), None
+            return
+        parts = [unread(c, name) for c in text]
+        self.lacking = [n for n, b in enumerate(parts) if b is None]
+        self.data = b"".join(b or b"" for b in parts)
+        self.ends = [0, *accumulate(len(b or b"") for b in parts)]
+
+    def part(self, x: int, y: int) -> bytes | None:
+        """The bytes of text[x:y]; None if the encoding lacks one of its characters."""
+        if self.lacking and (n := bisect_left(self.lacking, x)) < len(self.lacking) and self.lacking[n] < y:
             return None
-    return text
+        return self.data[x:y] if self.ends is None else self.data[self.ends[x] : self.ends[y]]
+
+
+def _alike(a: str, b: str) -> int:
+    """How many characters two texts begin with alike."""
+    for n, (c, d) in enumerate(zip(a, b)):
+        if c != d:
+            return n
+    return min(len(a), len(b))
+
+
+#: Characters that no undamaged text has.
+_UNREADABLE = re.compile("[\x00-\x08\x0e-\x1f\x7f-\x9f\ue000-\uf8ff\ufffd]")
 
 
 def _bigrams(data: bytes) -> np.ndarray:
@@ -142,6 +182,7 @@ class Model:
     def __init__(self, ratio: np.ndarray, clean: np.ndarray, chains: list) -> None:
         self.ratio, self.clean, self.chains = ratio, clean, chains
         self.most = ratio.max(axis=0)
+        self.by_bigram = np.ascontiguousarray(ratio.T)
         self._seen: dict[str, tuple[bool, str]] = {}
 
     @classmethod
@@ -170,15 +211,15 @@ class Model:
         gain = self.most[h]
         if gain[gain > 0].sum() < LOOK or text.isascii():
             return []
-        r = self.ratio[:, h]
-        total = np.concatenate([np.zeros((len(r), 1), "float32"), np.cumsum(r, axis=1)], axis=1)
-        low = np.minimum.accumulate(total, axis=1)
+        r = self.by_bigram[h]
+        total = np.concatenate([np.zeros((1, r.shape[1]), "float32"), np.cumsum(r, axis=0)])
+        low = np.minimum.accumulate(total, axis=0)
         rise = total - low
-        end = rise.argmax(axis=1)
-        best = rise[np.arange(len(r)), end]
+        end = rise.argmax(axis=0)
+        best = rise[end, np.arange(r.shape[1])]
         out = []
         for c in np.nonzero(best >= LOOK)[0]:
-            start = int(np.nonzero(total[c, : end[c] + 1] == low[c, end[c]])[0][-1])
+            start = int(np.nonzero(total[: end[c] + 1, c] == low[end[c], c])[0][-1])
             out.append((float(best[c]), int(c), start, int(end[c]) + 1))
         return sorted(out, reverse=True)
 
@@ -202,7 +243,7 @@ class Model:
         tries += own[10:]
         sure = False
         words, runs = [m.span() for m in re.finditer(r"\S+", text)], [m.span() for m in _ODD_RUN.finditer(text)]
-        strangers: dict[str, list[int]] = {}  # where a one-byte encoding lacks the character: no stretch over it inverts
+        written: dict[str, _Written] = {}
         for k, (chain, a, b) in enumerate(tries + other[6:]):
             if k == len(tries) and sure:
                 break  # the others' turn comes when nothing strict is left to undo
@@ -210,24 +251,22 @@ class Model:
             i = max(0, len(data[:a].decode("utf-8", "ignore")) - 1)
             j = min(len(text), max(len(data[: b + 1].decode("utf-8", "ignore")) - 1, i + 1))
             last = chain[-1][1]
-            if last in _NARROW and last not in strangers:
-                known = _single(last)[1]
-                strangers[last] = [n for n, c in enumerate(text) if c not in known]
-            lacking = strangers.get(last, ())
+            if last == "utf-8":
+                continue  # reading with replacement loses the bytes
+            if last not in written:
+                written[last] = _Written(text, last)
+            whole = written[last]
             for x, y in _spans(len(text), words, runs, i, j):
-                if lacking and (n := bisect_left(lacking, x)) < len(lacking) and lacking[n] < y:
-                    continue
                 piece = text[x:y]
-                back = invert(piece, chain)
-                if not back or back == piece or re.search("[\x00-\x08\x0e-\x1f\x7f-\x9f\ue000-\uf8ff\ufffd]", back):
+                if piece.isascii() or (wrote := whole.part(x, y)) is None:
+                    continue  # ASCII is the same in all encodings
+                back = _unwrite(wrote, chain)
+                if not back or back == piece or _UNREADABLE.search(back):
                     continue
                 # the stretch that changed, in its surroundings
                 left, right = text[max(0, x - 2) : x], text[y : y + 2]
-                p, q = 0, 0
-                while p < min(len(piece), len(back)) and piece[p] == back[p]:
-                    p += 1
-                while q < min(len(piece), len(back)) - p and piece[-1 - q] == back[-1 - q]:
-                    q += 1
+                p = _alike(piece, back)
+                q = min(_alike(piece[::-1], back[::-1]), min(len(piece), len(back)) - p)
                 changed = len(piece) - p - q
                 result = back[p : len(back) - q]
                 if not strict and (changed < (3 if chain[-1][1] in _WIDE else 2 if chain[0][0] in _WIDE else 1) or sum(x.isalnum() for x in result) < 0.6 * len(result)):
@@ -294,13 +333,17 @@ def _script(text: str) -> int:
 
 def _plainly_damaged(text: str) -> bool:
     """Damage that needs no model; such records aren't fitted on."""
-    if "\ufffd" in text or re.search("[\x80-\x9f\ue000-\uf8ff]", text):
+    if text.isascii():
+        return False
+    if _LOST.search(text):
         return True
-    runs = re.findall("[^\x00-\x7f]{2,}", text)
-    if any(len(re.findall("[\xa1-\xbf\xd7\xf7]", r)) * 3 > len(r) for r in runs if len(r) > 3):
+    runs = _BEYOND.findall(text)
+    if any(len(_SIGNS.findall(r)) * 3 > len(r) for r in runs if len(r) > 3):
         return True
     for r in runs:
         for name in (*_NARROW, "cp932", "gbk"):
+            if name in _NARROW and r[0] not in _single(name)[1]:
+                continue
             data = unread(r, name)
             if data is not None and len(data) > 1:
                 try:
@@ -312,6 +355,9 @@ def _plainly_damaged(text: str) -> bool:
     return False
 
 
+_LOST, _BEYOND, _SIGNS = re.compile("[\x80-\x9f\ue000-\uf8ff\ufffd]"), re.compile("[^\x00-\x7f]{2,}"), re.compile("[\xa1-\xbf\xd7\xf7]")
+
+
 def _count(texts: list[str]) -> np.ndarray:
     if not texts:
         return np.zeros(BUCKETS)
@@ -324,6 +370,10 @@ _KINDS = len(_SCRIPTS) + 1
 
 def _write(texts: list[str], name: str) -> tuple[list[int], bytes]:
     """Which of the texts an encoding can write, and these with zeros between."""
+    try:  # all at once where it can write all
+        return list(range(len(texts))), "\0".join(texts).encode("cp1252" if name == "latin_1" else name)
+    except UnicodeEncodeError:
+        pass
     at, out = [], []
     for i, t in enumerate(texts):
         try:
@@ -339,11 +389,12 @@ def _garble_all(texts: list[str]) -> Iterator[list[str]]:
     written = {a: _write(texts, a) for a in {chain[0][0] for chain in CHAINS}}
     for chain in CHAINS:
         at, data = written[chain[0][0]]
-        now = read_as(data, chain[0][1]).split("\0") if at else []
+        read = read_as(data, chain[0][1])
         for a, b in chain[1:]:
-            own, data = _write(now, a)
-            at, now = [at[i] for i in own], read_as(data, b).split("\0") if own else []
-        yield [g for i, g in zip(at, now, strict=True) if g != texts[i] and g.count("\ufffd") * 2 < len(g)]
+            own, data = _write(read.split("\0") if at else [], a)
+            at, read = [at[i] for i in own], read_as(data, b)
+        changed = [g for i, g in zip(at, read.split("\0") if at else [], strict=True) if g != texts[i]]
+        yield [g for g in changed if g.count("\ufffd") * 2 < len(g)] if "\ufffd" in read else [g for g in changed if g]
 
 
 def tally(texts: list[str], places: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -381,26 +432,32 @@ def _lookalikes(texts: list[str], places: list[int] | None = None) -> list[str]:
     import unicodedata
 
     greek = str.maketrans("aeopcxyijsABEHIKMNOPTXo", "аеорсхуіјѕАВЕНІКМΝОРТХο")
+    wide = {c: chr(c + 0xFEE0) for c in range(0x21, 0x7F)}
     out = []
     for k, t in zip(range(len(texts)) if places is None else places, texts):
         kind = k % 6
         if kind == 0:
-            out.append("".join(chr(ord(c) + 0xFEE0) if "!" <= c <= "~" else c for c in t))
+            out.append(t.translate(wide))
         elif kind == 1:
             out.append(unicodedata.normalize("NFD", t))
         elif kind == 2:
             out.append(t.replace(" ", (" ", " ", " ", " ", "　", " ")[k // 6 % 6]))
         elif kind == 3:
-            out.append("".join(c.translate(greek) if i % 4 == 0 else c for i, c in enumerate(t)))
+            letters = list(t)
+            letters[::4] = t[::4].translate(greek)
+            out.append("".join(letters))
         elif kind == 4:
             out.append(("​", "‌", "‍", "⁠", "﻿", "­", "‎")[k // 6 % 7].join((t[: len(t) // 2], t[len(t) // 2 :])))
         else:
             out.append(t.replace("'", "’").replace(" - ", " – "))
     narrow, radicals = _narrow_kana(), _radicals()
+    katakana, drawn = re.compile("[\u30a1-\u30fa]"), re.compile(f"[{''.join(map(chr, radicals))}]")
     for t in texts:
-        if re.search("[\u30a1-\u30fa]", t):
+        if t.isascii():
+            continue
+        if katakana.search(t):
             out.append(unicodedata.normalize("NFD", t).translate(narrow))
-        if any(ord(c) in radicals for c in t):
+        if drawn.search(t):
             out.append(t.translate(radicals))
     return out
 

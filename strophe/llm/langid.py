@@ -56,9 +56,30 @@ CHANGE_SENTENCE, CHANGE_WORD = 6.0, 9.0
 #: Log-likelihood of an n-gram that a language has and has not; neighbours overlap, so they are weak evidence each.
 HIT, MISS = 0.5, -1.0
 
-_SUNG = re.compile(
-    r"(?<![^\W\d_])(?:la|na|oh|ooh|ah|aah|hey|yeah|yea|da|du|dum|do|sha|mm+|hmm+|woah|whoa|wo|ei|ay|uh|ha|ho|doo|ba|bam|lala|nana|ら|ラ|な|ナ|あ|ア|ー|お|オ|ん|ン|う|ウ|え|エ|ぁ|ァ|わ|ワ|い|イ|나|라|아|오|우|워|예|에|헤이|음|啦|啊|哦|呜|噢|嗯|呀|喔|嘿)+(?![^\W\d_])"
-)
+_SYLLABLES = "la|na|oh|ooh|ah|aah|hey|yeah|yea|da|du|dum|do|sha|mm++|hmm++|woah|whoa|wo|ei|ay|uh|ha|ho|doo|ba|bam|ら|ラ|な|ナ|あ|ア|ー|お|オ|ん|ン|う|ウ|え|エ|ぁ|ァ|わ|ワ|い|イ|나|라|아|오|우|워|예|에|헤이|음|啦|啊|哦|呜|噢|嗯|呀|喔|嘿"
+_SUNG = re.compile(f"(?:{_SYLLABLES})+")
+
+
+def _singing() -> np.ndarray:
+    """0 no letter, 1 a letter of sung syllables, 2 another letter; for all characters."""
+    table = np.zeros(0x110000, "uint8")
+    for m in re.finditer(r"[^\W\d_]+", np.arange(0x110000, dtype="uint32").tobytes().decode("utf-32-le", "surrogatepass")):
+        table[m.start() : m.end()] = 2
+    table[[ord(c) for c in set(_SYLLABLES) if c.isalpha()]] = 1
+    return table
+
+
+_SINGING = _singing()
+
+
+def _sung(text: str) -> list[tuple[int, int]]:
+    """Where runs of letters are sung syllables from end to end; few runs have only letters of such and are matched."""
+    kind = _SINGING[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "uint32")]
+    step = np.diff((kind > 0).view("int8"), prepend=np.int8(0), append=np.int8(0))
+    starts, ends = np.nonzero(step == 1)[0], np.nonzero(step == -1)[0]
+    others = np.r_[0, np.cumsum(kind == 2)]
+    few = others[starts] == others[ends]
+    return [(a, b) for a, b in zip(starts[few].tolist(), ends[few].tolist()) if _SUNG.fullmatch(text, a, b)]
 
 
 def label_code(c: Column) -> Column:
@@ -133,6 +154,7 @@ class Grams:
             word = np.cumsum(edge, dtype="int32") - 1
         self.starts = np.nonzero(edge)[0]
         self.words = len(self.starts)
+        self.dense = kind[self.starts] == 2  # words of kana and han
         word = np.where(kind > 0, word, -1)
         one = np.where(kind == 0, np.uint32(32), cp) * np.uint32(0x9E3779B1)
         h = one
@@ -233,24 +255,25 @@ class Filters:
         seen = np.zeros((grams.words, 8), "float32")
         for h, unit in grams.families:
             p = self.positions(h)
-            mask = self.table[p[0]]
+            mask = self.table.take(p[0])
             for q in p[1:]:
-                mask &= self.table[q]
+                mask &= self.table.take(q)
             at = np.nonzero(np.r_[True, unit[1:] != unit[:-1]])[0]
             words = unit[at]
             n[words] += np.diff(np.r_[at, len(unit)])
-            seen[words] += np.add.reduceat(_LANES[mask], at).view("uint8").reshape(-1, 8)
+            seen[words] += np.add.reduceat(_LANES.take(mask), at).view("uint8").reshape(-1, 8)
         true = np.clip((seen - n[:, None] * self.false.astype("float32")) / (1 - self.false).astype("float32"), 0, n[:, None])
         out = MISS * n[:, None] + (HIT - MISS) * true
         # n-grams that no language has (names) say nothing; one word of blanks-between scripts can't decide alone
-        best = out.max(axis=1, keepdims=True)
-        dense = np.zeros(grams.words, bool)
-        for h, unit in grams.families[:1]:
-            dense[unit] = True  # one-letter n-grams are of kana and han only
-        return np.maximum(out, best - np.where(dense, 8.0 + n, 8.0)[:, None]).astype("float32") - np.minimum(best, 0).astype("float32")
+        half = np.maximum(out[:, :4], out[:, 4:])  # faster than a maximum along short rows
+        half = np.maximum(half[:, :2], half[:, 2:])
+        best = np.maximum(half[:, :1], half[:, 1:])
+        return np.maximum(out, best - np.where(grams.dense, 8.0 + n, 8.0)[:, None]).astype("float32") - np.minimum(best, 0).astype("float32")
 
 
 _SENTENCE = re.compile(r"(?<=[.!?…])[\"'»”’)\]]*\s+|(?<=[。！？])[」』”’）]*|\n+|\r+")
+#: Matches that end where those of _SENTENCE do; the set in front lets the search skip all other characters.
+_ENDS = re.compile(r"[.!?…。！？\n\r](?:(?<=[.!?…])[\"'»”’)\]]*\s+|(?<=[。！？])[」』”’）]*|(?<=\n)\n*|(?<=\r)\r*)")
 
 
 def _viterbi(score: np.ndarray, owner: np.ndarray, count: int, price: float) -> np.ndarray:
@@ -300,20 +323,17 @@ class Splitter:
         ends = np.cumsum([len(t) + 1 for t in texts]) if texts else np.empty(0, int)
         owner = np.searchsorted(ends, grams.starts, side="right")
         joined = grams.text
-        for m in _SUNG.finditer(joined):
-            a, b = np.searchsorted(grams.starts, m.span())
-            score[a:b] = 0.0
+        if sung := _sung(joined):
+            for a, b in np.searchsorted(grams.starts, sung).tolist():
+                score[a:b] = 0.0
         if self.sentences:
-            cuts = np.array([m.end() for m in _SENTENCE.finditer(joined)], "int64")
+            cuts = np.array([m.end() for m in _ENDS.finditer(joined)], "int64")
             sent = np.searchsorted(cuts, grams.starts, side="right")
-            ids, unit = np.unique(sent, return_inverse=True)
-            s = np.zeros((len(ids), 8), "float32")
-            np.add.at(s, unit, score)
+            at = np.nonzero(np.r_[True, sent[1:] != sent[:-1]])[0] if len(sent) else np.empty(0, int)
+            s = np.add.reduceat(score, at, axis=0) if len(at) else score
             best = s.max(axis=1, keepdims=True)
-            s = np.maximum(s, best - 16.0)
-            own = np.zeros(len(ids), "int64")
-            own[unit] = owner
-            units, score, owner = s, s, own
+            score = np.maximum(s, best - 16.0)
+            owner = owner[np.r_[at[1:], len(owner)] - 1] if len(at) else owner
         path = _viterbi(score, owner, len(texts), self.price)
         out: list[list[tuple[int, float]]] = [[] for _ in texts]
         if not len(path):
@@ -321,18 +341,18 @@ class Splitter:
         new = np.r_[True, (path[1:] != path[:-1]) | (owner[1:] != owner[:-1])]
         runs = np.nonzero(new)[0]
         total = np.add.reduceat(score.astype("float64"), runs, axis=0)
-        for r, t in zip(runs, total):
-            lang = path[r]
-            rest = np.delete(t, lang).max()
-            margin = t[lang] - rest
-            if t[lang] <= 0.5 or margin < 2.0:
-                continue  # names, marks, sung syllables
-            got = out[owner[r]]
-            confidence = float(1 / (1 + np.exp(-min(30.0, margin / 2))))
+        every, lang = np.arange(len(runs)), path[runs]
+        top = total[every, lang]
+        total[every, lang] = -np.inf
+        margin = top - total.max(axis=1)
+        sure = (top > 0.5) & (margin >= 2.0)  # the rest are names, marks, sung syllables
+        confidences = 1 / (1 + np.exp(-np.minimum(30.0, margin[sure] / 2)))
+        for text, lang, confidence in zip(owner[runs][sure].tolist(), lang[sure].tolist(), confidences.tolist()):
+            got = out[text]
             if got and got[-1][0] == lang:
-                got[-1] = (int(lang), max(got[-1][1], confidence))
+                got[-1] = (lang, max(got[-1][1], confidence))
             else:
-                got.append((int(lang), confidence))
+                got.append((lang, confidence))
         return out
 
 
@@ -392,21 +412,25 @@ def _added(grams: DataFrame) -> DataFrame:
 def _counted(batches: Iterable[pd.DataFrame], first: Filters | None) -> Iterator[pd.DataFrame]:
     """(n-gram, language, times) of texts; if there are filters, of those that they contradict, less than nothing."""
     for pdf in batches:
-        every = [plain(t).replace("\n", " ") for t in pdf["t"]]
-        every = [t + " " * (-(len(t) + 1) % 64) for t in every]  # words are cut alike wherever a text stands
-        langs, times = pdf["l"].map(LANGS.index).to_numpy("int64"), pdf["n"].to_numpy("int64")
-        for a, b in slices([len(t) for t in every], STEP):
-            grams = Grams(every[a:b])
-            h, unit = grams.all()
-            text = _owners(every[a:b], grams)[unit]
-            if first is not None:
-                wrong = ~first.agrees(every[a:b], grams, langs[a:b])[text]
-                h, text = h[wrong], text[wrong]
-            ids, often = h.astype("uint64") << np.uint64(3) | langs[a:b].astype("uint64")[text], times[a:b][text]
-            once, seen = often == 1, np.unique(ids[often == 1], return_counts=True)  # most are: sorted without their places
-            rest, inverse = np.unique(ids[~once], return_inverse=True)
-            for ids, often in (seen, (rest, np.bincount(inverse, weights=often[~once]))):
-                yield pd.DataFrame({"g": (ids >> np.uint64(3)).astype("uint32").view("int32"), "l": (ids & np.uint64(7)).astype("int32"), "n": often.astype("int64") * (1 if first is None else -1)})
+        for (lang, once), part in pdf.groupby([pdf["l"], pdf["n"] == 1]):  # most texts count once: their n-grams need no weights
+            every = [plain(t).replace("\n", " ") for t in part["t"]]
+            every = [t + " " * (-(len(t) + 1) % 64) for t in every]  # words are cut alike wherever a text stands
+            code, times = LANGS.index(lang), part["n"].to_numpy("int64")
+            for a, b in slices([len(t) for t in every], STEP):
+                # after blanks, so that the first text's first word has one before it as the others' have
+                texts, often = [" " * 63, *every[a:b]], np.r_[0, times[a:b]]
+                grams = Grams(texts)
+                if first is not None:
+                    wrong = np.nonzero(~first.agrees(texts, grams, np.full(len(texts), code)))[0]
+                    texts, often = [texts[i] for i in wrong], often[wrong]
+                    grams = Grams(texts)
+                h, unit = grams.all()
+                if once:
+                    ids, n = np.unique(h, return_counts=True)
+                else:
+                    ids, inverse = np.unique(h, return_inverse=True)
+                    n = np.bincount(inverse, weights=often[_owners(texts, grams)[unit]], minlength=len(ids))
+                yield pd.DataFrame({"g": ids.view("int32"), "l": np.full(len(ids), code, "int32"), "n": n.astype("int64") * (1 if first is None else -1)})
 
 
 def _filters(counts: DataFrame) -> tuple[Filters, bool]:

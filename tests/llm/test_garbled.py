@@ -154,3 +154,11 @@ def test_the_model_comes_from_all_lines(spark, monkeypatch, query):
     whole = garbled.Model.of(*garbled.tally(every, [zlib.crc32(t.encode()) for t in every]))
     assert len(every) > 8000 and got[0].chains == whole.chains
     assert (got[0].clean == whole.clean).all() and (got[0].ratio == whole.ratio).all()
+
+
+def test_bytes_of_stretches_are_cut_from_the_whole():
+    texts = ["Ã©tÃ© \uf8f0あ\xa0", "もう一度 é 帰り", "눈 덮인 창문", "请不要忘记", "", "abc"]
+    for t in texts:
+        for name in (*garbled._NARROW, *garbled._WIDE):
+            whole = garbled._Written(t, name)
+            assert all(whole.part(x, y) == garbled.unread(t[x:y], name) for x in range(len(t)) for y in range(x, len(t) + 1))

@@ -1,6 +1,9 @@
 import random
+import re
+import time
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from strophe.llm import garbled, langid, queries
@@ -64,6 +67,42 @@ def test_spelling_tricks_change_nothing(filters):
     assert names(langid.Splitter(filters, False).split([wide, t.upper(), t.replace("e", "е", 2)])) == [["fr"]] * 3
 
 
+def test_words_are_judged_alike_beside_any_other(filters):
+    a = "je rêve toujours, je vois une étoile fêlée zq"
+    alone, beside = (filters.words(langid.Grams(t)) for t in ([a], [a, "もう一度遠い海へ帰りたい"]))
+    assert (alone == beside[: len(alone)]).all()
+
+
+@pytest.mark.parametrize("second", [False, True])
+def test_ngrams_count_alike_in_any_batch(filters, second):
+    df = pd.DataFrame([(t, label, 1 + i % 3 // 2) for i, (t, _, label) in enumerate(corpus(4, 120, noise=0.3))], columns=["t", "l", "n"])
+    first = filters if second else None
+    count = lambda parts: pd.concat(list(langid._counted(iter(parts), first))).groupby(["g", "l"]).n.sum()
+    assert count([df]).equals(count([df[i : i + 1] for i in range(len(df))]))
+
+
+def test_sung_syllables():
+    plain = re.compile(r"(?<![^\W\d_])(?:" + langid._SYLLABLES + r")+(?![^\W\d_])")
+    rng, parts = random.Random(6), ["la", "na", "oh", "hmm", "mm", "m", "a", "x", "-", " ", "ラ", "ー", "나", "啦", "1", "_", "é", "lala"]
+    for _ in range(2000):
+        t = "".join(rng.choice(parts) for _ in range(rng.randrange(10)))
+        assert langid._sung(t) == [m.span() for m in plain.finditer(t)]
+
+
+def test_long_runs_of_a_letter_take_no_time(filters):
+    start = time.process_time()
+    langid.Splitter(filters, False).split(["m" * 36 + "x", "m" * 36 + "e"])
+    assert time.process_time() - start < 1
+
+
+def test_ends_of_sentences():
+    rng = random.Random(7)
+    for _ in range(2000):
+        t = "".join(rng.choice(".!?…。！？\n\r \"»)」』a漢　") for _ in range(rng.randrange(20)))
+        assert {m.end() for m in langid._ENDS.finditer(t)} == {m.end() for m in langid._SENTENCE.finditer(t)}
+    assert langid._SENTENCE.split("One. Two。三！\nFour") == ["One.", "Two。", "三！", "", "Four"]
+
+
 def test_slices():
     assert langid.slices([3, 3, 9, 1], 6) == [(0, 2), (2, 3), (3, 4)] and langid.slices([], 5) == []
 
